@@ -64,9 +64,12 @@ def _first_mask(x: Column, masks: list[int]) -> Column:
 
 
 def close_keyed(
-    left: DataFrame, right: DataFrame, threshold: int, masks: list[int], work: Scratch, hot_bucket: int = HOT_BUCKET, ordered: bool = False
+    left: DataFrame, right: DataFrame, threshold: int, masks: list[int], work: Scratch, hot_bucket: int = HOT_BUCKET, ordered: bool = False, extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Pairs (lh, rh) of the keyed tables ``left(m, v, lh)`` and ``right(m, v, rh)`` within the threshold, each once."""
+    """Pairs (lh, rh) of the keyed tables ``left(m, v, lh)`` and ``right(m, v, rh)`` within the threshold.
+
+    Each pair of rows comes out once; ``extra`` columns of right are kept beside it.
+    """
     parts: list[DataFrame] = []
     level = 0
     while True:
@@ -79,7 +82,7 @@ def close_keyed(
         found = left.join(calm, ["m", "v"]).where((F.bit_count(x) <= threshold) & (F.col("m") == _first_mask(x, masks)))
         if ordered:
             found = found.where("lh < rh")
-        parts.append(found.select("lh", "rh"))
+        parts.append(found.select("lh", "rh", *extra))
         if hot is None:
             break
         deeper = [split_masks(k, threshold) for k in masks]
@@ -87,11 +90,11 @@ def close_keyed(
         place = {k: i for i, k in enumerate(flat)}
         to = F.create_map(*[c for i, ks in enumerate(deeper) for c in (F.lit(i), F.array(*[F.struct(F.lit(place[k]).alias("m"), F.lit(signed(k)).cast("long").alias("k")) for k in ks]))])
 
-        def finer(side: DataFrame, h: str) -> DataFrame:
-            s = side.join(hot, ["m", "v"], "left_semi").select(h, F.explode(to[F.col("m")]).alias("s"))
-            return s.select(h, F.col("s.m").alias("m"), F.col(h).bitwiseAND(F.col("s.k")).alias("v")).distinct()
+        def finer(side: DataFrame, h: str, *more: str) -> DataFrame:
+            s = side.join(hot, ["m", "v"], "left_semi").select(h, *more, F.explode(to[F.col("m")]).alias("s"))
+            return s.select(h, *more, F.col("s.m").alias("m"), F.col(h).bitwiseAND(F.col("s.k")).alias("v")).distinct()
 
-        left, right, masks = work.save(finer(left, "lh"), "finer-left"), work.save(finer(right, "rh"), "finer-right"), flat
+        left, right, masks = work.save(finer(left, "lh"), "finer-left"), work.save(finer(right, "rh", *extra), "finer-right"), flat
         level += 1
     return parts[0] if level == 0 else reduce(DataFrame.union, parts).distinct()
 
