@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.operators.hamming import base_masks, close_keyed, keyed
+from siftstone.operators.hamming import base_masks, close_keyed, keyed, signed
 from siftstone.operators.skew import heavy_keys, salted_lookup
 from siftstone.schema import comparable, in_scope
 from siftstone.session import Scratch, table
@@ -37,7 +37,8 @@ class History:
         return self.spark.read.schema("content_hash binary, seq long, n long, bucket int").parquet(f"{self.at}/exact")
 
     def _near(self) -> DataFrame:
-        return self.spark.read.schema("rh long, seq long, m int, v long, bucket int").parquet(f"{self.at}/near")
+        stored = self.spark.read.schema("rh long, seq long, m int, bucket int").parquet(f"{self.at}/near")
+        return stored.withColumn("v", F.col("rh").bitwiseAND(F.element_at(F.array(*[F.lit(signed(k)).cast("long") for k in self.masks]), F.col("m") + 1)))
 
     def append(self, batch: DataFrame) -> None:
         """Store the keys of ``batch(seq, content_hash, phash)``; phash is null but for comparable pictures.
@@ -49,7 +50,8 @@ class History:
         exact = exact.withColumn("bucket", self._bucket("content_hash"))
         exact.repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.at}/exact")
         prints = batch.where("phash is not null").groupBy(F.col("phash").alias("rh")).agg(F.min("seq").alias("seq"))
-        near = keyed(prints, "rh", self.masks).withColumn("bucket", self._bucket("m", "v"))
+        # the key's bits follow from the fingerprint and the mask's number, so they aren't stored
+        near = keyed(prints, "rh", self.masks).withColumn("bucket", self._bucket("m", "v")).drop("v")
         near.repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.at}/near")
 
     def _pruned(self, stored: DataFrame, probe: DataFrame) -> DataFrame:
@@ -71,10 +73,9 @@ class History:
         prints = work.save(batch.where("phash is not null").groupBy("phash").agg(F.count(F.lit(1)).alias("n")), "prints")
         probe = keyed(prints.select(F.col("phash").alias("lh")), "lh", self.masks).withColumn("bucket", self._bucket("m", "v"))
         stored = self._pruned(self._near(), probe)
-        # several appends may have stored one fingerprint; each pair comes out once and takes the lowest seq
-        links = close_keyed(probe.select("m", "v", "lh"), stored.select("m", "v", "rh").distinct(), self.threshold, self.masks, work)
-        firsts = stored.groupBy("rh").agg(F.min("seq").alias("seq"))
-        near = links.join(firsts, "rh").groupBy("lh").agg(F.min("seq").alias("first_near")).withColumnRenamed("lh", "phash")
+        # several appends may have stored one fingerprint; the lowest seq of all that are close counts
+        links = close_keyed(probe.select("m", "v", "lh"), stored.select("m", "v", "rh", "seq"), self.threshold, self.masks, work, extra=("seq",))
+        near = links.groupBy("lh").agg(F.min("seq").alias("first_near")).withColumnRenamed("lh", "phash")
 
         heavy_hash = [bytes(r.content_hash) for r in heavy_keys(mine, "content_hash", "n", heavy_share).select("content_hash").collect()]
         heavy_print = [r.phash for r in heavy_keys(prints, "phash", "n", heavy_share).select("phash").collect()]
@@ -88,9 +89,8 @@ class History:
 
 
 def batch_rows(files: DataFrame) -> DataFrame:
-    """In-scope rows as batch rows: seq is the archive; repeated rows of one key count once."""
-    rows = files.where(in_scope()).select("archive_id", "file_id", "content_hash", F.when(comparable(), F.col("phash")).alias("phash"))
-    return rows.groupBy("archive_id", "file_id").agg(F.any_value("content_hash").alias("content_hash"), F.any_value("phash").alias("phash")).withColumn("seq", F.col("archive_id"))
+    """In-scope rows as batch rows: seq is the archive."""
+    return files.where(in_scope()).select(F.col("archive_id").alias("seq"), "archive_id", "file_id", "content_hash", F.when(comparable(), F.col("phash")).alias("phash"))
 
 
 def ledger_rows(accepted: DataFrame) -> DataFrame:
@@ -101,11 +101,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All archives in one probe: their keys are stored under their numbers, and a row matches lower numbers only."""
     work = Scratch(spark, "batches")
     history = History(spark, work.path("history"))
-    files = table(spark, sf_dir, "files")
-    keys = files.where(in_scope()).select(F.col("archive_id").alias("seq"), "content_hash", F.when(comparable(), F.col("phash")).alias("phash"))
-    history.append(ledger_rows(table(spark, sf_dir, "accepted")).unionByName(keys))
-    found = history.match(batch_rows(files), work)
-    return found.where("match_kind is not null").select("archive_id", "file_id", "match_kind")
+    batches = batch_rows(table(spark, sf_dir, "files"))
+    history.append(ledger_rows(table(spark, sf_dir, "accepted")).unionByName(batches.select("seq", "content_hash", "phash")))
+    found = history.match(batches, work)
+    # repeated rows of one key count once; only what matched is shuffled for that
+    return found.where("match_kind is not null").select("archive_id", "file_id", "match_kind").distinct()
 
 
 P3_SQL = """
