@@ -74,32 +74,42 @@ def pieces(counts: DataFrame, targets: DataFrame) -> DataFrame:
 def pack(sizes: list[int], capacity: int, gap: int) -> list[int]:
     """Container number of each item (all at most capacity): longest first into the cheapest container with room.
 
-    The number of containers to start with is the least that the total allows. Where none of the cheapest has room the
-    fullest that still has is taken, and a new one is opened only if there is none.
+    Where that needs more containers than the total asks for, items too long to be levelled out later (over an eighth
+    of the capacity, then all) go into the fullest container with room instead, and the packing with the fewest
+    containers counts; among equals the one most alike in cost, which is the earlier.
     """
+    best: list[int] = []
+    least = -(-sum(s + gap for s in sizes) // (capacity + gap))
+    for share in (None, 8, capacity):
+        where = _pack_once(sizes, capacity, gap, capacity if share is None else capacity // share)
+        if not best or max(where) < max(best):
+            best = where
+        if max(best) + 1 <= least:
+            break
+    return best
+
+
+def _pack_once(sizes: list[int], capacity: int, gap: int, level: int) -> list[int]:
+    """One pass in descending order: items up to ``level`` by cost, longer ones into the fullest container with room."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    total = sum(s + gap for s in sizes)
-    k = max(1, -(-total // (capacity + gap)))
+    k = max(1, -(-sum(s + gap for s in sizes) // (capacity + gap)))
     left = [capacity + gap] * k
-    cheap = [(0.0, c) for c in range(k)]  # heap of (cost, container)
     cost = [0.0] * k
+    cheap = [(0.0, c) for c in range(k)]  # heap of (cost, container), with entries that are out of date
     rooms = [(capacity + gap, c) for c in range(k)]  # sorted by room
     where = [0] * len(sizes)
     for i in order:
-        need = sizes[i] + gap
-        c = -1
-        tried = []
-        while cheap and len(tried) < 8:
+        need, c, tried = sizes[i] + gap, -1, []
+        while sizes[i] <= level and cheap and len(tried) < 8:
             price, x = heapq.heappop(cheap)
-            if price != cost[x] or left[x] < gap + 1:
-                continue  # an entry that is out of date
-            tried.append((price, x))
+            if price != cost[x] or left[x] <= gap:
+                continue
             if left[x] >= need:
                 c = x
                 break
+            tried.append((price, x))
         for entry in tried:
-            if entry[1] != c:
-                heapq.heappush(cheap, entry)
+            heapq.heappush(cheap, entry)
         if c < 0 and (j := bisect_left(rooms, (need, -1))) < len(rooms):
             c = rooms[j][1]
         if c < 0:
