@@ -118,7 +118,7 @@ def human_bytes(n: str | Column) -> Column:
     x = _c(n).cast("double")
     out = F.when(x < 1024, F.concat(_c(n).cast("long").cast("string"), F.lit(" B")))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
-        scaled = F.concat(F.format_string("%.1f", x / float(1024**power)), F.lit(" " + unit))
+        scaled = F.concat(F.format_string("%.1f", F.bround(x / float(1024**power), 1)), F.lit(" " + unit))
         out = out.otherwise(scaled) if unit == "TiB" else out.when(x < float(1024 ** (power + 1)), scaled)
     return out
 
