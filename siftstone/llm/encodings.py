@@ -220,6 +220,8 @@ class Reader:
 
     def segment(self, seg: str) -> str:
         """The segment as it was meant; the same text if it is sound."""
+        if len(seg) > 300:
+            return self._repair(seg)
         key = re.sub(r"\d+", "0", seg)
         if (known := self._segments.get(key)) is None:
             known = self._repair(key)
@@ -344,7 +346,7 @@ _READERS: dict[int, Reader] = {}
 def restore_paths(files: DataFrame) -> DataFrame:
     """``(archive_id, file_id, path_fixed)`` of the rows whose path is garbled; empty where nothing brings it back.
 
-    Rows with a null path are left out, ASCII paths are sound, repeated rows of one key count once, an empty table
+    Rows with a null path or key are left out, ASCII paths are sound, repeated rows of one key count once, an empty table
     gives no rows; further columns are ignored. Paths of any length are read whole.
     """
     spark = files.sparkSession
@@ -361,7 +363,7 @@ def restore_paths(files: DataFrame) -> DataFrame:
             keep = [f is not None for f in fixed]
             yield pd.DataFrame({"archive_id": b["archive_id"][keep], "file_id": b["file_id"][keep], "path_fixed": [f for f in fixed if f is not None]})
 
-    odd = files.where(F.col("path").rlike(r"[^\x00-\x7f]")).select("archive_id", "file_id", "path", "path_raw")
+    odd = files.where("archive_id is not null and file_id is not null").where(F.col("path").rlike(r"[^\x00-\x7f]")).select("archive_id", "file_id", "path", "path_raw")
     return odd.mapInPandas(run, "archive_id long, file_id long, path_fixed string").dropDuplicates(["archive_id", "file_id"])
 
 

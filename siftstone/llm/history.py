@@ -63,8 +63,11 @@ class History:
         """``batch(seq, content_hash, phash, ...)`` with ``match_kind`` exact, near or null.
 
         A row matches what is stored under a lower seq. So one call may hold one batch, or many whose keys are stored
-        already. Repeated rows stay repeated.
+        already. Repeated rows stay repeated. Further columns pass through under whatever names; a ``match_kind`` that the
+        batch has already is replaced. Rows without a seq match nothing.
         """
+        others = {c: f"_other{i}" for i, c in enumerate(batch.columns) if c not in ("seq", "content_hash", "phash", "match_kind")}
+        batch = batch.select("seq", "content_hash", "phash", *[F.col(f"`{c}`").alias(x) for c, x in others.items()])
         work = work or Scratch(self.spark, "probe")
         mine = work.save(batch.where("content_hash is not null").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", self._bucket("content_hash")), "hashes")
         held = self._pruned(self._exact(), mine).groupBy("bucket", "content_hash").agg(F.min("seq").alias("first_exact"))
@@ -85,7 +88,7 @@ class History:
         near = near.select(F.col("phash").alias("_probe"), F.col("phash").alias("_held"), "first_near")
         out = salted_lookup(out, near, "_probe", heavy_print, "left")
         kind = F.when(F.col("first_exact") < F.col("seq"), "exact").when(F.col("phash").eqNullSafe(F.col("_held")) & (F.col("first_near") < F.col("seq")), "near")
-        return out.select(*batch.columns, kind.alias("match_kind"))
+        return out.select("seq", "content_hash", "phash", *[F.col(x).alias(c) for c, x in others.items()], kind.alias("match_kind"))
 
 
 def batch_rows(files: DataFrame) -> DataFrame:

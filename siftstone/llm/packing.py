@@ -47,14 +47,14 @@ def encoder(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)``: the whole text in tokens of the public tokenizer; null texts count 0."""
+    """``(doc_id, n_tokens)``: the whole text in tokens of the public tokenizer; null texts count 0, rows without a doc_id are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, n_tokens long")
 
 
 def pieces(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def pieces(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` is a small table; texts of no tokens need no room and are left out.
     """
-    t = targets.where("capacity_tokens > 0").select("target_id", F.col("capacity_tokens").cast("long").alias("capacity"), F.coalesce("gap_tokens", F.lit(0)).cast("long").alias("gap")).dropDuplicates(["target_id"])
+    t = targets.where("capacity_tokens > 0 and target_id is not null").select("target_id", F.col("capacity_tokens").cast("long").alias("capacity"), F.coalesce("gap_tokens", F.lit(0)).cast("long").alias("gap")).dropDuplicates(["target_id"])
     every = t.agg(F.collect_list(F.struct("target_id", "capacity", "gap")).alias("ts"))  # one row
-    items = counts.where("n_tokens > 0").join(F.broadcast(every)).select("doc_id", "n_tokens", F.explode("ts").alias("t"))
+    items = counts.where("n_tokens > 0 and doc_id is not null").select("doc_id", "n_tokens").join(F.broadcast(every)).select("doc_id", "n_tokens", F.explode("ts").alias("t"))
     items = items.select("doc_id", "n_tokens", "t.*")
     cut = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n_tokens") - 1) / F.col("capacity")).cast("long"))))
     start = F.col("piece") * F.col("capacity")
@@ -144,12 +144,13 @@ def _pack_shards(items: DataFrame, shard: str, last: bool) -> DataFrame:
 def pack_documents(counts: DataFrame, targets: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``(target_id, container_id, doc_id, piece, start_token, n_tokens)``: the container of every text or piece.
 
-    Repeated rows of one doc_id count once. Every item is in exactly one container of each target, no container holds
+    Repeated rows of one doc_id count once (with the largest count); rows without a doc_id and texts of no tokens are left
+    out, and so are containers without a number or a positive capacity; further columns are ignored. Every item is in exactly one container of each target, no container holds
     more than its capacity, the gaps between neighbours included. Empty tables give no rows.
     """
     spark = counts.sparkSession
     work = Scratch(spark, "packing")
-    items = work.save(pieces(counts.dropDuplicates(["doc_id"]), targets), "items")
+    items = work.save(pieces(counts.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), targets), "items")
     done: list[DataFrame] = []
     level = 0
     while True:
