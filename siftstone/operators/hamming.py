@@ -3,7 +3,7 @@
 A fingerprint is cut into ``t + 2`` bands. Two values that differ in at most ``t`` bits agree in at least two of the
 bands, so an equality join on every pair of bands meets each close pair. A bucket that holds many values is not
 compared as it is and not capped: its free bits are cut into ``t + 1`` parts, one of which must agree as well, and it
-is split by those, again and again, until the buckets are small.
+is split by those, twice if need be.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftstone.session import Scratch
 
 HOT_BUCKET = 512
+LEVELS = 2
 
 
 def signed(x: int) -> int:
@@ -73,7 +74,7 @@ def close_keyed(
     parts: list[DataFrame] = []
     level = 0
     while True:
-        wide = all(k.bit_count() >= 56 for k in masks)
+        wide = level == LEVELS  # what is left after that shares over half of its bits and is compared as it is
         hot = None if wide else work.save(right.groupBy("m", "v").count().where(F.col("count") > hot_bucket).select("m", "v"), "hot")
         if hot is not None and not hot.take(1):
             hot = None
