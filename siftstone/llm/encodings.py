@@ -41,9 +41,15 @@ SPAN = re.compile(
 )
 #: A multibyte character that breaks off.
 CUT = re.compile(rb"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2})(?=(?:\.[A-Za-z0-9]{1,5})?\Z)")
-WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
+LETTERS = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 #: The same for Spark's regular expressions.
-WORD_JAVA = r"[A-Za-z\x{80}-\x{10ffff}]*[\x{80}-\x{10ffff}][A-Za-z\x{80}-\x{10ffff}]*"
+LETTERS_JAVA = r"[A-Za-z\x{80}-\x{10ffff}]+"
+BEYOND = re.compile(r"[\x80-\U0010ffff]")
+
+
+def words_in(text: str) -> list[str]:
+    """Words with a character beyond ASCII."""
+    return [w for w in LETTERS.findall(text) if not w.isascii()]
 
 
 def _byte_table(name: str) -> list[str]:
@@ -64,12 +70,13 @@ def name_model(files: DataFrame) -> tuple[dict[int, float], dict[int, float], di
 
     All three are bounded whatever the table holds: code points by Unicode, pairs and words by their slot among ``SLOTS``.
     """
-    words = files.where(F.col("path").rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(WORD_JAVA), F.lit(0))).alias("w"))
-    words = words.where(~F.contains("w", F.lit("�"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    marked = words.select("n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    pairs = marked.select("n", "w", F.explode(F.sequence(F.lit(1), F.char_length("w") - 1)).alias("i"))
-    at = lambda k: F.ascii(F.substring("w", F.col("i") + k, F.lit(1))).cast("long")
-    pairs = pairs.select("n", at(0).alias("a"), at(1).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    words = files.where(F.col("path").rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(LETTERS_JAVA), F.lit(0))).alias("w"))
+    words = words.where(F.col("w").rlike(r"[^\x00-\x7f]") & ~F.contains("w", F.lit("�"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # taken apart into characters once: cutting a long word anew at every place would take quadratic time
+    chars = words.select("n", F.split(F.concat(F.lit(" "), "w", F.lit(" ")), "").alias("c"))
+    both_sides = F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))
+    pairs = chars.select("n", F.explode(both_sides).alias("p")).select("n", F.ascii("p.a").cast("long").alias("a"), F.ascii("p.b").cast("long").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
     slot = F.pmod(F.col("a") * PAIR_FACTOR + F.col("b"), F.lit(SLOTS))
     both = F.array(F.struct(F.lit(0).alias("t"), slot.alias("k")), F.struct(F.lit(1).alias("t"), F.col("b").alias("k")))
     coded = pairs.select("n", F.explode(both).alias("x")).select("n", "x.t", "x.k")
@@ -94,8 +101,12 @@ class Reader:
         """(sum of log probabilities, number) over the pairs with a character beyond ASCII."""
         if (s := self._score.get(word)) is None:
             t, total, n = f" {word.lower()} ", 0.0, 0
-            for a, b in zip(t, t[1:]):
-                if a > "\x7f" or b > "\x7f":
+            seen = -1
+            for m in BEYOND.finditer(t):
+                for i in (m.start() - 1, m.start()):  # the pairs on both sides, each once
+                    if i <= seen:
+                        continue
+                    seen, a, b = i, t[i], t[i + 1]
                     x, y = ord(a), ord(b)
                     base = (self.chars.get(y, 0.0) + 0.02) / (self.total + 1000)
                     total += math.log((self.pairs.get((x * PAIR_FACTOR + y) % SLOTS, 0.0) + 3 * base) / (self.chars.get(x, 0.0) + 3)) - self.oddity(a, b)
@@ -111,7 +122,7 @@ class Reader:
 
     def text_score(self, text: str) -> tuple[float, int, float]:
         """Pair score, pairs and the mean log count of the words of a text."""
-        total, n, seen, words = 0.0, 0, 0.0, WORD.findall(text)
+        total, n, seen, words = 0.0, 0, 0.0, words_in(text)
         for w in words:
             s, k = self.score(w)
             total, n, seen = total + s, n + k, seen + self.known(w)
@@ -237,7 +248,7 @@ class Reader:
         return re.sub("0", lambda _: next(it), known)
 
     def _repair(self, seg: str) -> str:
-        words = WORD.findall(seg)
+        words = words_in(seg)
         own, n, own_seen = self.text_score(seg)
         if not n:
             return seg
@@ -263,9 +274,9 @@ class Reader:
     def _apply(self, seg: str, how: tuple) -> str:
         def one(m: re.Match) -> str:
             w = m.group()
-            return next((text for h, text, _ in self.readings(w) if h == how), w)
+            return w if w.isascii() else next((text for h, text, _ in self.readings(w) if h == how), w)
 
-        return WORD.sub(one, seg)
+        return LETTERS.sub(one, seg)
 
     def _multibyte(self, seg: str) -> Iterator[str]:
         """Readings in encodings of several bytes a character, whose second bytes may be ASCII and part no words."""
@@ -335,7 +346,7 @@ class Reader:
         m = re.fullmatch(r"([^�]*[^\x00-\x7f�])�(\.[A-Za-z0-9]{1,5})?", seg)
         if not m:
             return False
-        words = WORD.findall(m.group(1))
+        words = words_in(m.group(1))
         n = sum(self.score(w)[1] for w in words)
         return sum(self.score(w)[0] for w in words) / n > FLOOR and not any(self.damaged(w) for w in words)
 
@@ -361,7 +372,7 @@ def restore_paths(files: DataFrame) -> DataFrame:
         for b in batches:
             fixed = [reader.path(p, None if r is None else bytes(r)) for p, r in zip(b["path"], b["path_raw"])]
             keep = [f is not None for f in fixed]
-            yield pd.DataFrame({"archive_id": b["archive_id"][keep], "file_id": b["file_id"][keep], "path_fixed": [f for f in fixed if f is not None]})
+            yield pd.DataFrame({"archive_id": b["archive_id"][keep], "file_id": b["file_id"][keep], "path_fixed": pd.Series([f for f in fixed if f is not None], dtype=object, index=b.index[keep])})
 
     odd = files.where("archive_id is not null and file_id is not null").where(F.col("path").rlike(r"[^\x00-\x7f]")).select("archive_id", "file_id", "path", "path_raw")
     return odd.mapInPandas(run, "archive_id long, file_id long, path_fixed string").dropDuplicates(["archive_id", "file_id"])
