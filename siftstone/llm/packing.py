@@ -78,6 +78,8 @@ def pack(sizes: list[int], capacity: int, gap: int) -> list[int]:
     of the capacity, then all) go into the fullest container with room instead, and the packing with the fewest
     containers counts; among equals the one most alike in cost, which is the earlier.
     """
+    if not sizes:
+        return []
     best: list[int] = []
     least = -(-sum(s + gap for s in sizes) // (capacity + gap))
     for share in (None, 8, capacity):
