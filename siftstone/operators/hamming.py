@@ -80,7 +80,9 @@ def close_keyed(
             hot = None
         calm = right if hot is None else right.join(hot, ["m", "v"], "left_anti")
         x = F.col("lh").bitwiseXOR(F.col("rh"))
-        found = left.join(calm, ["m", "v"]).where((F.bit_count(x) <= threshold) & (F.col("m") == _first_mask(x, masks)))
+        found = left.join(calm, ["m", "v"]).where(F.bit_count(x) <= threshold)
+        if level == 0:  # deeper tables lack the rows of calm buckets, so the first mask may be none of theirs
+            found = found.where(F.col("m") == _first_mask(x, masks))
         if ordered:
             found = found.where("lh < rh")
         parts.append(found.select("lh", "rh", *extra))
