@@ -120,7 +120,7 @@ def human_bytes(n: str | Column) -> Column:
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
         scaled = F.concat(F.format_string("%.1f", F.bround(x / float(1024**power), 1)), F.lit(" " + unit))
         out = out.otherwise(scaled) if unit == "TiB" else out.when(x < float(1024 ** (power + 1)), scaled)
-    return out
+    return F.when(x.isNotNull(), out)
 
 
 def fmt_unix(t: str | Column) -> Column:
