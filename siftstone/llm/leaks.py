@@ -13,9 +13,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,7 @@ _BREAK = re.compile(r"(?<=[^\W\d_])[-‐]\r?\n[ \t]*(?=[^\W\d_])")
 _MARKS = re.compile(
     "[­̀-ͯ҃-҉֑-ֽؐ-ًؚ-़ٰٟิ-ฺ็-๎​-‏‪-‮⁠-⁤゙゚︀-️﻿]+"
 )
+_PIECES = re.compile(r"&#?\w{1,31};|" + _TAG.pattern + r"|[-‐]\r?\n[ \t]*|(?P<ascii>[^&<\-\x80-\U0010ffff]+)|.", re.S)
 _FOREIGN = re.compile(r"[Ͱ-֏]")
 _WORDS = re.compile(r"\w*[Ͱ-֏]\w*")
 
@@ -101,23 +103,72 @@ class Items:
                         out[i].append((p, k))
         return out
 
-    def cover(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> tuple[float, int, int]:
-        """(share of the item's words, first word, end) of the best passage of the document."""
-        size, best = len(self.words[item]), (0.0, 0, 0)
+    def cover(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
+        """(share of the item's words, matched (start, end) in the document): the best passage, or the chain of all long
+        runs of the document and what lies beside them, whatever is larger.
+
+        Set phrases of a few words occur by chance all over a long text, so short runs on their own count within a passage
+        only; a run of two windows or more counts wherever it stands.
+        """
+        size, best = len(self.words[item]), (0.0, [])
         far = 2 * size + 100
         hits = sorted(set(hits))
+        runs: set[tuple[int, int, int]] = set()
         start = 0
         for j in range(1, len(hits) + 1):
             if j == len(hits) or hits[j][0] - hits[j - 1][0] > far:
-                best = max(best, self._passage(item, w, hits[start:j]))
+                own = hits[start:j]
+                lo = max(0, own[0][0] - 2 * own[0][1] - 20)
+                hi = min(len(w), own[-1][0] + 2 * (size - own[-1][1]) + 20)
+                if part := self._runs(item, w, lo, hi, own):
+                    best = max(best, self._passage(part))
+                    runs.update(part)
                 start = j
-        return best
+        best = max(best, self._chain(self._firm(sorted(runs), 2 * (WINDOW_DENSE if self.dense[item] else WINDOW))))
+        return min(1.0, best[0] / size), best[1]
+
+    @staticmethod
+    def _firm(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+        """The runs of that length, and those that lie within 20 words of one in both texts, or of such a run."""
+        firm = [r[2] >= least for r in runs]
+        starts, longest = [r[0] for r in runs], max((r[2] for r in runs), default=0)
+        todo = [j for j, ok in enumerate(firm) if ok]
+        while todo:
+            p, k, length = runs[todo.pop()]
+            for j in range(bisect_left(starts, p - 20 - longest), bisect_right(starts, p + length + 20)):
+                p2, k2, l2 = runs[j]
+                if not firm[j] and ((0 <= p2 - p - length <= 20 and 0 <= k2 - k - length <= 20) or (0 <= p - p2 - l2 <= 20 and 0 <= k - k2 - l2 <= 20)):
+                    firm[j] = True
+                    todo.append(j)
+        return [r for r, ok in zip(runs, firm) if ok]
 
-    def _passage(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> tuple[float, int, int]:
-        words, places, dense = self.words[item], self.places[item], self.dense[item]
-        size, n = len(words), WINDOW_DENSE if dense else WINDOW
-        lo = max(0, hits[0][0] - 2 * hits[0][1] - 20)
-        hi = min(len(w), hits[-1][0] + 2 * (size - hits[-1][1]) + 20)
+    @staticmethod
+    def _passage(runs: list[tuple[int, int, int]]) -> tuple[float, list[tuple[int, int]]]:
+        """(weight, its (start, end) in the document) of the best passage: the heaviest chain in which distance costs."""
+        top: list[tuple[float, int]] = []
+        for j, (p, k, length) in enumerate(runs):
+            gain, before = length, -1
+            for q in range(j - 1, max(-1, j - 200), -1):
+                p2, k2, l2 = runs[q]
+                cut = max(0, p2 + l2 - p, k2 + l2 - k)
+                if p2 < p and k2 < k and cut < length:
+                    gap, inserted = k - k2 - l2, p - p2 - l2
+                    edit = gap if 0 < gap <= 4 and inserted <= gap + 3 else 0
+                    far = min(6.0, max(0, inserted - 20) / 20)  # what lies far apart is less likely one passage
+                    if (g := top[q][0] + length - cut + edit - far) > gain:
+                        gain, before = g, q
+            top.append((gain, before))
+        j = max(range(len(runs)), key=lambda j: top[j][0])
+        weight, pieces = top[j][0], []
+        while j >= 0:
+            pieces.append((runs[j][0], runs[j][0] + runs[j][2]))
+            j = top[j][1]
+        return weight, pieces[::-1]
+
+    def _runs(self, item: int, w: list[str], lo: int, hi: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(place in the document, place in the item, length) of the runs of equal words that count."""
+        places, dense = self.places[item], self.dense[item]
+        n = WINDOW_DENSE if dense else WINDOW
         anchors = set(hits)
         shortest = 4 if dense else 2
         # maximal runs of equal words along the diagonals
@@ -149,60 +200,122 @@ class Items:
                     if (0 <= p - (p2 + l2) <= near and 0 <= k - (k2 + l2) <= near) or (0 <= p2 - (p + length) <= near and 0 <= k2 - (k + length) <= near):
                         sure[j] = changed = True
                         break
-        runs = [r for r, ok in zip(runs, sure) if ok]
-        if not runs:
-            return 0.0, 0, 0
-        # heaviest chain in the order of both texts; small gaps on both sides are edits and count as reproduced
-        top: list[tuple[float, int]] = []
-        for j, (p, k, length) in enumerate(runs):
-            gain, first = length, p
-            for q in range(j - 1, max(-1, j - 200), -1):
-                p2, k2, l2 = runs[q]
-                cut = max(0, p2 + l2 - p, k2 + l2 - k)
-                if p2 < p and k2 < k and cut < length:
-                    gap, inserted = k - k2 - l2, p - p2 - l2
-                    edit = gap if 0 < gap <= 4 and inserted <= gap + 3 else 0
-                    far = min(6.0, max(0, inserted - 20) / 20)  # what lies far apart is less likely one passage
-                    if (g := top[q][0] + length - cut + edit - far) > gain:
-                        gain, first = g, top[q][1]
-            top.append((gain, first))
-        j = max(range(len(runs)), key=lambda j: top[j][0])
-        return min(1.0, top[j][0] / size), top[j][1], runs[j][0] + runs[j][2]
+        return [r for r, ok in zip(runs, sure) if ok]
 
-    def leaked(self, text: str, least: float) -> list[tuple[int, float, int, int]]:
-        """(item, share, first word, end) of every item of which the text holds at least that share."""
+    @staticmethod
+    def _chain(runs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        """(weight, its (start, end) in the document) of the heaviest chain of runs, or heads of them, in the order of both texts.
+
+        However far apart runs lie, they add up; small gaps on both sides are edits and count as reproduced. The document
+        is swept once: ``low[v]`` is the lowest item place at which a chain of weight v + 1 or more ends.
+        """
+        low: list[int] = []
+        who: list[tuple[int, int]] = []  # (run, words of it) that ends the chain of low
+        base, back = [0] * len(runs), [(-1, 0)] * len(runs)
+        ends: dict[tuple[int, int], int] = {}
+        begin: dict[int, list[int]] = defaultdict(list)
+        for j, r in enumerate(runs):
+            begin[r[0]].append(j)
+        live: list[int] = []
+        p = -1
+        for first in sorted(begin):
+            if first < p:  # swept along with the runs before it
+                continue
+            p = first
+            while live or p in begin:
+                for j in begin.get(p, ()):
+                    _, k, _ = runs[j]
+                    v = bisect_left(low, k)
+                    base[j], back[j] = v, who[v - 1] if v else (-1, 0)
+                    for gap in range(1, 5):
+                        for inserted in range(gap + 4):
+                            q = ends.get((p - inserted, k - gap), -1)
+                            if q >= 0 and base[q] + runs[q][2] + gap > base[j]:
+                                base[j], back[j] = base[q] + runs[q][2] + gap, (q, runs[q][2])
+                    for q in live:  # runs that reach over the start of this one lose their tails
+                        gap = k - runs[q][1] - runs[q][2]
+                        if 0 < gap <= 4 and base[q] + p - runs[q][0] + gap > base[j]:
+                            base[j], back[j] = base[q] + p - runs[q][0] + gap, (q, p - runs[q][0])
+                live += begin.get(p, ())
+                for j in live:
+                    d = p - runs[j][0]
+                    k, v = runs[j][1] + d, base[j] + d
+                    while len(low) <= v:
+                        low.append(1 << 60)
+                        who.append((-1, 0))
+                    while v >= 0 and low[v] > k:
+                        low[v], who[v] = k, (j, d + 1)
+                        v -= 1
+                p += 1
+                for j in live:
+                    if runs[j][0] + runs[j][2] == p:
+                        q = ends.get((p, runs[j][1] + runs[j][2]), -1)
+                        if q < 0 or base[q] + runs[q][2] < base[j] + runs[j][2]:
+                            ends[p, runs[j][1] + runs[j][2]] = j
+                live = [j for j in live if runs[j][0] + runs[j][2] > p]
+        if not low:
+            return 0, []
+        pieces, at = [], who[-1]
+        while at[0] >= 0:
+            j, d = at
+            pieces.append((runs[j][0], runs[j][0] + d))
+            at = back[j]
+        return len(low), pieces[::-1]
+
+    def leaked(self, text: str, least: float) -> list[tuple[int, float, list[tuple[int, int]]]]:
+        """(item, share, (first word, end) of its passages) of every item of which the text holds at least that share."""
         w = words(text)
         found = []
         for i, h in self.hits(w).items():
             # in a passage of that share, a tenth of its words at least begin a window that is left whole
             if len({k for _, k in h}) >= min(2, len(self.words[i]) - 2) and len({k for _, k in h}) >= 0.1 * least * len(self.words[i]):
-                share, first, end = self.cover(i, w, h)
+                share, pieces = self.cover(i, w, h)
                 if share >= least:
-                    found.append((i, share, first, end))
-        # items made alike: a passage that another item explains much better is no leak of this one
+                    found.append((i, share, pieces))
+        # items made alike: words that another item explains much better are no leak of this one
         found.sort(key=lambda x: (-x[1], x[0]))
-        out: list[tuple[int, float, int, int]] = []
-        for i, share, first, end in found:
-            if not any(share < 0.7 * s and 2 * (min(e, end) - max(f, first)) > end - first for _, s, f, e in out):
-                out.append((i, share, first, end))
+        out: list[tuple[int, float, list[tuple[int, int]]]] = []
+        held: list[tuple[float, set[int]]] = []
+        for i, share, pieces in found:
+            own = {p for s, e in pieces for p in range(s, e)}
+            if not any(share < 0.7 * s and 2 * len(own & other) > len(own) for s, other in held):
+                held.append((share, own))
+                out.append((i, share, self._passages(i, pieces)))
+        return out
+
+    def _passages(self, item: int, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The pieces joined unless they lie far apart."""
+        far, out = 2 * len(self.words[item]) + 100, [pieces[0]]
+        for s, e in pieces[1:]:
+            if s - out[-1][1] > far:
+                out.append((s, e))
+            else:
+                out[-1] = (out[-1][0], e)
         return out
 
 
+@lru_cache(65_536)
+def _plain(piece: str) -> str:
+    return _MARKS.sub("", unicodedata.normalize("NFKD", piece)).lower()
+
+
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """(start, end) in the original text of each word of ``words(text)``; only for texts that leak, as it is slow."""
     chars: list[str] = []
     at: list[tuple[int, int]] = []
-    pieces = re.compile(r"&#?\w{1,31};|" + _TAG.pattern + r"|[-‐]\r?\n[ \t]*|.", re.S)
-    for m in pieces.finditer(text):
+    for m in _PIECES.finditer(text):
         raw, (s, e) = m.group(), m.span()
+        if m.lastgroup:  # ASCII with nothing to take out
+            chars.append(raw.lower())
+            at += zip(range(s, e), range(s + 1, e + 1))
+            continue
         if len(raw) > 1 and raw[0] == "<":
             continue
         if len(raw) > 1 and raw[0] in "-‐" and s and text[s - 1].isalpha() and text[e : e + 1].isalpha():
             continue
-        out = html.unescape(raw) if raw[0] == "&" else raw
-        for c in _MARKS.sub("", unicodedata.normalize("NFKD", out)).lower():
-            chars.append(c)
-            at.append((s, e))
+        out = _plain(html.unescape(raw) if raw[0] == "&" else raw)
+        chars.append(out)
+        at += [(s, e)] * len(out)
     joined = "".join(chars)
     if _FOREIGN.search(joined):
         joined = _WORDS.sub(_latin, joined)
@@ -225,7 +338,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """``(doc_id, item_id, share, start_pos, end_pos)``: every item of which a document reproduces at least that share.
 
-    The positions are code points of the passage in the document, null where the text's mark-up does not let them be told.
+    The share is that of all the document's words in the item's order, wherever they stand. Passages of one item that lie
+    far apart have a row each. The positions are code points of the passage in the document, null where the text's mark-up does not let them be told.
     Rows without an id, null and empty texts leak nothing, repeated rows of
     one doc_id count once, empty tables give no rows, further columns are ignored; texts of any length are read whole.
     """
@@ -244,14 +358,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST_SHAR
                     if found := items.leaked(text, least):
                         at = word_offsets(text)
                         sure = len(at) == len(words(text))
-                        rows += [(doc, i, share, at[first][0] if sure else None, at[end - 1][1] if sure else None) for i, share, first, end in found]
+                        rows += [(doc, i, share, at[first][0] if sure else None, at[end - 1][1] if sure else None) for i, share, spans in found for first, end in spans]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start_pos", "end_pos"]).astype({"start_pos": "Int64", "end_pos": "Int64"})
 
         part = docs.mapInPandas(run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
-    return out.dropDuplicates(["doc_id", "item_id"])
+    return out.dropDuplicates(["doc_id", "item_id", "start_pos", "end_pos"])
 
 
 def remove_leaks(documents: DataFrame, leaks: DataFrame, whole: bool = True) -> DataFrame:
@@ -278,4 +392,4 @@ def remove_leaks(documents: DataFrame, leaks: DataFrame, whole: bool = True) ->
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()

@@ -103,3 +103,26 @@ def test_sentences(spark):
     for i, t in enumerate(texts):  # units cover everything but white space, in order
         assert "".join("".join(u.split()) for u in got.get(i, [])) == "".join(t.split())
     assert sentences.sentence_units(spark.createDataFrame([(None, "x", None), (1, None, None)], DOCS)).count() == 0
+
+
+def test_leaks_far_apart():
+    r = random.Random(31)
+    filler = ["zu" + "".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(4000)]
+    w, other = ([f"{c}{i}" for i in range(90)] for c in "wv")
+    known, size = leaks.Items([(1, " ".join(w)), (2, " ".join(other))]), 90
+    part = size // 6 + 1
+    find = lambda words: {i: spans for i, _, spans in known.leaked(" ".join(words), 1 / 3)}
+    # two runs with 140 words between them; the same at the head and the tail of a long text, which make two passages
+    assert find(w[:part] + filler[:140] + w[-part:]) == {1: [(0, 140 + 2 * part)]}
+    assert find(w[:part] + filler + w[-part:]) == {1: [(0, part), (part + 4000, 2 * part + 4000)]}
+    # a run in every long stretch of other matter
+    apart = []
+    for k in range(0, size - 6, 14):
+        apart += w[k : k + 7] + filler[k * 10 : k * 10 + 150]
+    assert set(find(apart)) == {1}
+    # the head again and again before the tail comes
+    assert set(find((w[:part] + filler[:3]) * 300 + w[-part:])) == {1}
+    # another item within the inserted matter stays a leak of its own
+    assert set(find(w[: size // 2] + other[: part * 2] + w[size // 2 :])) == {1, 2}
+    # scattered set phrases of three words are none
+    assert not find([x for k in range(0, size - 3, 6) for x in w[k : k + 3] + filler[k * 10 : k * 10 + 300]])
