@@ -11,8 +11,9 @@ scripts without spaces follow the layout rules below.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,8 +53,9 @@ _TAIL = re.compile(r"[^\w’'-]+\Z")
 _QUOTES = "\"“„«‘'([¿¡"
 
 LLR_ABBREVIATION = 0.3  # threshold on the scaled ratio of a type
+FOLLOWERS = ["start", "mid", "small", "digit"]
 LLR_STARTER = 7.88  # a word belongs to sentence starts at the 0.5 % level
-FLOOR_SHARE = 1e-7  # types rarer than this, or met once, carry no statistics of their own: bounds what is broadcast
+FLOOR_SHARE = 1e-7  # types rarer than this are joined to the documents that hold them: bounds what is broadcast; types met once carry no statistics
 
 
 def language(text: str, label: str | None = None) -> str:
@@ -150,9 +152,17 @@ def _ratio(k: F.Column, n: F.Column, p0: F.Column) -> F.Column:
     return 2 * (term(k, n * p0) + term(n - k, n * (1 - p0))) * F.when(q < p0, -1).otherwise(1)
 
 
-def statistics(documents: DataFrame, work: Scratch) -> tuple[dict, dict]:
-    """``(types, starters)``: {(lang, type): (abbreviation?, share of its followers that start sentences)} and
-    {(lang, word): log-likelihood ratio of its standing at sentence starts}.
+def follower_ratio(start: int, n: int) -> float:
+    """Log-likelihood ratio of ``start`` sentence starts among n followers against even odds, negative if they are the fewer."""
+    if not n:
+        return 0.0
+    g = sum(2 * x * math.log(2 * x / n) for x in (start, n - start) if x)
+    return g if 2 * start >= n else -g
+
+
+def statistics(documents: DataFrame, work: Scratch) -> tuple[dict, dict, DataFrame]:
+    """``(types, starters, rare)``: {(lang, type): (abbreviation?, numbers of its followers by kind)},
+    {(lang, word): log-likelihood ratio of its standing at sentence starts}, and both for all rarer types as a table.
 
     All counts run over all documents. What comes to the driver are only types that pass a significance test and occur
     in at least ``FLOOR_SHARE`` of their language's tokens, which bounds the number to ``1 / FLOOR_SHARE`` a language.
@@ -185,8 +195,9 @@ def statistics(documents: DataFrame, work: Scratch) -> tuple[dict, dict]:
         * (F.char_length("type") - F.char_length(plain) + 1)
         * F.pow(F.greatest(F.char_length(plain), F.lit(1)).cast("double"), -(F.col("n") - F.col("dots")).cast("double"))
     )
-    types = types.where((F.col("n") > 1) & (F.col("n") >= F.col("all_n") * FLOOR_SHARE) & (F.col("dots") > 0))
-    types = types.select("lang", "type", "n", "dots", (scaled >= LLR_ABBREVIATION).alias("abbr"))
+    frequent = F.col("n") >= F.col("all_n") * FLOOR_SHARE
+    types = types.where((F.col("n") > 1) & (F.col("dots") > 0))
+    types = types.select("lang", "type", "n", "dots", frequent.alias("frequent"), (scaled >= LLR_ABBREVIATION).alias("abbr"))
 
     # starters: words at undoubted starts against all their occurrences
     s = counts.where("what = 's'").select("lang", _strip("a").alias("form"), "n").where("form <> ''").groupBy("lang", "form").agg(F.sum("n").alias("starts"))
@@ -207,9 +218,17 @@ def statistics(documents: DataFrame, work: Scratch) -> tuple[dict, dict]:
         F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(digit, F.col("n")).otherwise(0)).alias("digit"),
     )
     known = types.join(follow, ["lang", "type"], "left").where(F.col("abbr") | (F.col("dots") > 0.5 * F.col("n")) | F.col("type").rlike("^0$"))
-    out = {(r.lang, r.type): (r.abbr, r.start or 0, r.mid or 0, r.small or 0, r.digit or 0) for r in known.collect()}
-    starters = words.where((F.col("n") > 1) & (F.col("n") >= F.col("all_n") * FLOOR_SHARE) & ((F.col("llr") > LLR_STARTER) | (F.col("llr") < -LLR_STARTER))).where(F.col("form").rlike(r"^[^\p{Ll}0-9]"))
-    return out, {(r.lang, r.form): r.llr for r in starters.select("lang", "form", "llr").collect()}
+    known = known.select("lang", F.lit("t").alias("what"), F.col("type").alias("key"), "frequent", "abbr", *[F.coalesce(c, F.lit(0)).alias(c) for c in FOLLOWERS], F.lit(0.0).alias("llr"))
+    starters = words.where((F.col("n") > 1) & ((F.col("llr") > LLR_STARTER) | (F.col("llr") < -LLR_STARTER))).where(F.col("form").rlike(r"^[^\p{Ll}0-9]"))
+    starters = starters.select("lang", F.lit("s").alias("what"), F.col("form").alias("key"), frequent.alias("frequent"), F.lit(False).alias("abbr"), *[F.lit(0).cast("long").alias(c) for c in FOLLOWERS], "llr")
+    both = work.save(known.unionByName(starters), "known")
+    return *as_dicts(both.where("frequent").collect()), both.where("not frequent").drop("frequent")
+
+
+def as_dicts(rows) -> tuple[dict, dict]:
+    """Rows of ``statistics`` as the types and the starters of a ``Splitter``."""
+    types = {(r["lang"], r["key"]): (r["abbr"], r["start"], r["mid"], r["small"], r["digit"]) for r in rows if r["what"] == "t"}
+    return types, {(r["lang"], r["key"]): r["llr"] for r in rows if r["what"] == "s"}
 
 
 class Splitter:
@@ -218,18 +237,33 @@ class Splitter:
     def __init__(self, types: dict, starters: dict):
         self.types, self.starters = types, starters
 
-    def ends_at_period(self, lang: str, before: str, after: str) -> bool:
-        """Whether a sentence ends at a period; before: the word that carries it, after: the text behind it."""
+    def knowing(self, rare) -> Splitter:
+        """The same with the statistics of further types."""
+        types, starters = as_dicts(rare)
+        return Splitter(ChainMap(types, self.types), ChainMap(starters, self.starters))
+
+    @staticmethod
+    def keys(before: str, after: str) -> tuple[str, str, bool]:
+        """(type that carries a period, word behind it, whether a dash parts them)."""
         nxt = after.lstrip(_QUOTES)
         dash = nxt[:1] in "—–" and nxt[1:2] == " "
         if dash:
             nxt = nxt[2:].lstrip(_QUOTES)
         m = _BLACK.match(nxt)
         word = m.group() if m else ""
-        c = word[:1]
         kind = before.lower().lstrip("\"“”„«»‘’'([¿¡")
         if not kind.isalpha():
             kind = DIGITS.sub("0", kind)
+        return kind, word, dash
+
+    @staticmethod
+    def starter(word: str) -> str:
+        return _TAIL.sub("", DIGITS.sub("0", word))
+
+    def ends_at_period(self, lang: str, before: str, after: str) -> bool:
+        """Whether a sentence ends at a period; before: the word that carries it, after: the text behind it."""
+        kind, word, dash = self.keys(before, after)
+        c = word[:1]
         known = self.types.get((lang, kind))
         initial = len(kind) == 1 and kind.isalpha()
         if c.islower() and not any(x.isupper() for x in word[1:]) and after[:1] not in "\"“„«":
@@ -239,12 +273,12 @@ class Splitter:
             return not initial and not (len(kind) > 1 and "." in kind and len(kind) <= 5 and not kind[0].isdigit())
         abbr, start, mid, small, digit = known
         number = kind.isdigit()
-        if len(kind) > 3 and kind.isalpha() and start + mid + small + digit < 10:
-            return not c.isdigit() or small == digit == 0  # too few cases to call a long word an abbreviation
+        if not abbr and len(kind) > 3 and kind.isalpha():  # its periods tell no long word from others, however many they are
+            return not c.isdigit() or small == digit == 0 or start > 0 and follower_ratio(start, start + small + digit) > -LLR_STARTER
         if not (abbr or initial or number) and small <= 0.2 * (start + mid + digit + 1) and start >= mid:
             return True
         rate = (start + (0.1 if abbr or initial else 1.0)) / (start + mid + 1.0)
-        llr = self.starters.get((lang, _TAIL.sub("", DIGITS.sub("0", word))), 0.0)
+        llr = self.starters.get((lang, self.starter(word)), 0.0)
         if c.isdigit():
             return not (abbr or initial or number) and rate > 0.5 or (rate > 0.6 and digit <= start)
         if number and rate < 0.9:
@@ -380,6 +414,37 @@ class Splitter:
         return out
 
 
+class Asking(Splitter):
+    """Notes what the statistics at hand don't tell about the periods of a text."""
+
+    def wanted(self, text: str, label: str | None) -> set[tuple[str, str, str]]:
+        self.asked: set[tuple[str, str, str]] = set()
+        self.units(text, label)
+        return self.asked
+
+    def ends_at_period(self, lang: str, before: str, after: str) -> bool:
+        kind, word, _ = self.keys(before, after)
+        if (lang, kind) not in self.types:
+            self.asked.add((lang, "t", kind))
+        if (lang, starter := self.starter(word)) not in self.starters:
+            self.asked.add((lang, "s", starter))
+        return super().ends_at_period(lang, before, after)
+
+
+def with_rare(docs: DataFrame, rare: DataFrame, model) -> DataFrame:
+    """The documents with the statistics of the rare types that their periods ask for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking = Asking(*model.value)
+        for b in batches:
+            rows = [(doc, *key) for doc, text, label in zip(b["doc_id"], b["text"], b["lang"]) for key in asking.wanted(text, label)]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "what", "key"])
+
+    asked = docs.mapInPandas(run, "doc_id long, lang string, what string, key string").distinct()
+    told = asked.join(rare, ["lang", "what", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("lang", "what", "key", "abbr", *FOLLOWERS, "llr")).alias("rare"))
+    return docs.join(told, "doc_id", "left")
+
+
 def sentence_units(documents: DataFrame) -> DataFrame:
     """``(doc_id, start_pos, end_pos)`` of every sentence unit, in code points, ends exclusive.
 
@@ -388,14 +453,16 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", "lang").where("text is not null and doc_id is not null")
-    model = spark.sparkContext.broadcast(Splitter(*statistics(docs, Scratch(spark, "sentences"))))
+    types, starters, rare = statistics(docs, Scratch(spark, "sentences"))
+    model = spark.sparkContext.broadcast((types, starters))
+    docs = docs.withColumn("rare", F.lit(None)) if rare.isEmpty() else with_rare(docs, rare, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter = model.value
+        splitter = Splitter(*model.value)
         for b in batches:
             ids, starts, ends = [], [], []
-            for doc, text, label in zip(b["doc_id"], b["text"], b["lang"]):
-                for s, e in splitter.units(text, label):
+            for doc, text, label, rare in zip(b["doc_id"], b["text"], b["lang"], b["rare"]):
+                for s, e in (splitter if rare is None else splitter.knowing(rare)).units(text, label):
                     ids.append(doc)
                     starts.append(s)
                     ends.append(e)

@@ -126,3 +126,16 @@ def test_leaks_far_apart():
     assert set(find(w[: size // 2] + other[: part * 2] + w[size // 2 :])) == {1, 2}
     # scattered set phrases of three words are none
     assert not find([x for k in range(0, size - 3, 6) for x in w[k : k + 3] + filler[k * 10 : k * 10 + 300]])
+
+
+def test_rare_abbreviations(spark, monkeypatch):
+    names, nouns = "Zadell Orlach Torvel Kiner Masub Pelor".split(), "mapa libro carta bolsa".split()
+    told = " ".join(f"La {nouns[k % 4]} que {names[k % 6]} tiene es de {names[(k + 1) % 6]}. Los {nouns[(k + 1) % 4]}s no están en la casa de {names[(k + 2) % 6]}." for k in range(60))
+    rare = [f"Ayer la Srta. {n} vio el mapa de la casa." for n in names[:5]]
+    texts = [told, *rare]
+    got = units(spark, texts)
+    assert [got[i] for i in range(1, 6)] == [[t] for t in rare]  # as in a corpus with many such cases
+    assert len(got[0]) == 120
+    # types that are too rare to be broadcast tell the same
+    monkeypatch.setattr(sentences, "FLOOR_SHARE", 0.02)
+    assert units(spark, texts) == got
