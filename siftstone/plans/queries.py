@@ -580,10 +580,10 @@ def largest_per_archive(spark, d):
 
 @query()
 def report_members_json(spark, d):
-    r = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(limit_groups=50))
+    r = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams())
     return members_json(r).select("group_id", "member")
 
 
 @query()
 def report_lines(spark, d):
-    return group_lines(run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(limit_groups=50)))
+    return group_lines(run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams()))
