@@ -411,6 +411,12 @@ def top_words_20(spark, d):
     return top_words(word_freq_ascii(spark, d), 20)
 
 
+@query()
+def top_words_all_20(spark, d):
+    """The ranking of the words as they are, in all scripts; ``top_words_20`` ranks what its SQL can tell apart."""
+    return top_words(word_freq_all(spark, d), 20)
+
+
 TOKENS = r"""docs AS (SELECT archive_id, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
   tok AS (SELECT archive_id, doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS at FROM docs)"""
 

@@ -12,3 +12,16 @@ def test_reports_render_every_group(spark, make_files, make_archives, tmp_path):
     make_archives([(1, 5), (2, 6)]).write.parquet(f"{tmp_path}/archives.parquet")
     assert QUERIES["report_members_json"](spark, str(tmp_path)).count() == 2 * n
     assert {r.group_id for r in QUERIES["report_lines"](spark, str(tmp_path)).collect()} == set(range(1, n + 1))
+
+
+def test_ranking_of_words_in_all_scripts(spark, tmp_path):
+    texts = ["été été forêt est naïve", "архив архив Архив копия est", "αρχείο αρχείο forêt, été; est_est", "ab 2024 résumé-résumé " + "x" * 33, "أرشيف أرشيف est"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    count, docs = Counter(), Counter()
+    for t in texts:
+        words = [w.lower() for w in "".join(c if c.isalnum() else " " for c in t).split() if 3 <= len(w) <= 32]
+        count.update(words)
+        docs.update(set(words))
+    want = [(i, w, count[w], docs[w]) for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[:20], 1)]
+    got = [(r.rank, r.word, r.total_count, r.doc_count) for r in QUERIES["top_words_all_20"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == want and {"été", "архив", "αρχείο", "أرشيف"} <= {w for _, w, _, _ in got}
