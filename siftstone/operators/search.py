@@ -252,7 +252,7 @@ def postings(docs: DataFrame, keys: list[str], path: str = "path", content: str
 
 
 def _instances(cands: DataFrame, keys: list[str], phrase: Phrase, no: int) -> DataFrame:
-    """``(keys..., no, col, at, len)``: every place at which the phrase occurs, by an array scan of its first token."""
+    """``(keys..., _no, _col, _at, _len)``: every place at which the phrase occurs, by an array scan of its first token."""
     out = None
     for col in phrase.columns:
         arr = F.col(f"{col}_tokens")
@@ -263,12 +263,12 @@ def _instances(cands: DataFrame, keys: list[str], phrase: Phrase, no: int) -> Da
             return F.startswith(t, F.lit(phrase.terms[k])) if phrase.prefix and k == last else t == phrase.terms[k]
 
         exists = F.exists(arr, lambda t: hit(t, 0)) if phrase.prefix and not rest else F.array_contains(arr, first)
-        part = cands.where(exists).select(*keys, arr.alias("_arr"), F.posexplode(arr).alias("at", "_t")).where(hit(F.col("_t"), 0))
+        part = cands.where(exists).select(*keys, arr.alias("_arr"), F.posexplode(arr).alias("_at", "_t")).where(hit(F.col("_t"), 0))
         for k in range(1, len(phrase.terms)):
-            part = part.where(F.coalesce(hit(F.get("_arr", F.col("at") + k), k), F.lit(False)))
+            part = part.where(F.coalesce(hit(F.get("_arr", F.col("_at") + k), k), F.lit(False)))
         if phrase.initial:
-            part = part.where("at = 0")
-        part = part.select(*keys, F.lit(no).alias("no"), F.lit(col).alias("col"), "at", F.lit(len(phrase.terms)).alias("len"))
+            part = part.where("_at = 0")
+        part = part.select(*keys, F.lit(no).alias("_no"), F.lit(col).alias("_col"), "_at", F.lit(len(phrase.terms)).alias("_len"))
         out = part if out is None else out.union(part)
     return out
 
@@ -279,11 +279,11 @@ def _matching(node, inst: dict[Phrase, DataFrame], keys: list[str], every: DataF
         return inst[node].select(*keys).distinct() if node.terms else every.limit(0)
     if isinstance(node, Near):
         # windows: all phrases of one column with at most distance tokens between neighbours' ends and starts
-        base = inst[node.phrases[0]].select(*keys, "col", F.col("at").alias("lo"), (F.col("at") + F.col("len")).alias("hi"))
+        base = inst[node.phrases[0]].select(*keys, "_col", F.col("_at").alias("_lo"), (F.col("_at") + F.col("_len")).alias("_hi"))
         for p in node.phrases[1:]:
-            other = inst[p].select(*keys, "col", F.col("at").alias("_a"), (F.col("at") + F.col("len")).alias("_e"))
-            joined = base.join(other, [*keys, "col"]).withColumn("_gap", F.greatest(F.col("_a") - F.col("hi"), F.col("lo") - F.col("_e")))
-            base = joined.where(F.col("_gap") <= node.distance).select(*keys, "col", F.least("lo", "_a").alias("lo"), F.greatest("hi", "_e").alias("hi"))
+            other = inst[p].select(*keys, "_col", F.col("_at").alias("_a"), (F.col("_at") + F.col("_len")).alias("_e"))
+            joined = base.join(other, [*keys, "_col"]).withColumn("_gap", F.greatest(F.col("_a") - F.col("_hi"), F.col("_lo") - F.col("_e")))
+            base = joined.where(F.col("_gap") <= node.distance).select(*keys, "_col", F.least("_lo", "_a").alias("_lo"), F.greatest("_hi", "_e").alias("_hi"))
         return base.select(*keys).distinct()
     sides = [_matching(x, inst, keys, every) for x in node.parts]
     if node.kind == "AND":
@@ -303,7 +303,13 @@ def search(index: DataFrame, query: str, keys: list[str]) -> DataFrame:
     return match(index, tree, keys)
 
 
+def _check_keys(keys: list[str], *made: str) -> None:
+    if bad := [k for k in keys if k.startswith("_") or k.lower() in ("path_tokens", "content_tokens", "doc_len", *made)]:
+        raise ValueError(f"key column {bad[0]!r} has a name that the search uses")
+
+
 def match(index: DataFrame, tree, keys: list[str]) -> DataFrame:
+    _check_keys(keys, "rank", "matches")
     every = index.select(*keys)
     wanted = [p for p in dict.fromkeys(_all_phrases(tree)) if p.terms]
     if not wanted:
@@ -312,18 +318,18 @@ def match(index: DataFrame, tree, keys: list[str]) -> DataFrame:
     hits = _matching(tree, inst, keys, every)
     marked = [p for p in dict.fromkeys(phrases_of(tree)) if p.terms]
     size = index.agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))  # one row
-    freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "no").agg(F.count(F.lit(1)).alias("f"))
-    df = freq.groupBy("no").agg(F.count(F.lit(1)).alias("_df"))  # a row per phrase of the query
+    freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "_no").agg(F.count(F.lit(1)).alias("_f"))
+    df = freq.groupBy("_no").agg(F.count(F.lit(1)).alias("_df"))  # a row per phrase of the query
     lens = index.select(*keys, "doc_len")
-    scored = freq.join(F.broadcast(df), "no").join(lens, keys).join(F.broadcast(size))
+    scored = freq.join(F.broadcast(df), "_no").join(lens, keys).join(F.broadcast(size))
     idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("_rows") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
+    part = idf * F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
     ranks = scored.groupBy(*keys).agg((-F.sum(part)).alias("rank"))
     # spans of one row lie in one row's text; overlapping ones are merged by running maxima
-    content = reduce(DataFrame.union, [inst[p] for p in marked]).where("col = 'content'")
-    w = W.partitionBy(*keys).orderBy("at", F.desc("len")).rowsBetween(W.unboundedPreceding, -1)
-    spans = content.withColumn("_end", F.max(F.col("at") + F.col("len")).over(w))
-    spans = spans.groupBy(*keys).agg(F.count_if(F.col("_end").isNull() | (F.col("at") >= F.col("_end"))).alias("matches"))
+    content = reduce(DataFrame.union, [inst[p] for p in marked]).where("_col = 'content'")
+    w = W.partitionBy(*keys).orderBy("_at", F.desc("_len")).rowsBetween(W.unboundedPreceding, -1)
+    spans = content.withColumn("_end", F.max(F.col("_at") + F.col("_len")).over(w))
+    spans = spans.groupBy(*keys).agg(F.count_if(F.col("_end").isNull() | (F.col("_at") >= F.col("_end"))).alias("matches"))
     return hits.join(ranks, keys, "left").join(spans, keys, "left").select(*keys, "rank", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
@@ -340,6 +346,7 @@ def federated(found: DataFrame, keys: list[str], limit: int, archive: str = "arc
 
 def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int, archive: str = "archive_id") -> DataFrame:
     """Search every archive by itself: frequencies and lengths are those of the archive."""
+    _check_keys(keys, "rank", "place")
     tree, _ = parse(query)
     marked = [p for p in dict.fromkeys(phrases_of(tree)) if p.terms]
     if not marked:
@@ -347,11 +354,11 @@ def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int, a
     inst = {p: _instances(index, keys, p, n) for n, p in enumerate(dict.fromkeys(x for x in _all_phrases(tree) if x.terms))}
     hits = _matching(tree, inst, keys, index.select(*keys))
     size = index.groupBy(archive).agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))
-    freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "no").agg(F.count(F.lit(1)).alias("f"))
-    df = freq.groupBy(archive, "no").agg(F.count(F.lit(1)).alias("_df"))
-    scored = freq.join(df, [archive, "no"]).join(size, archive).join(index.select(*keys, "doc_len"), keys)
+    freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "_no").agg(F.count(F.lit(1)).alias("_f"))
+    df = freq.groupBy(archive, "_no").agg(F.count(F.lit(1)).alias("_df"))
+    scored = freq.join(df, [archive, "_no"]).join(size, archive).join(index.select(*keys, "doc_len"), keys)
     idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("_rows") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
+    part = idf * F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
     ranks = scored.groupBy(*keys).agg((-F.sum(part)).alias("rank"))
     return federated(hits.join(ranks, keys), keys, limit, archive)
 
