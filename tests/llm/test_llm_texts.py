@@ -128,7 +128,7 @@ def test_leaks_far_apart():
     assert not find([x for k in range(0, size - 3, 6) for x in w[k : k + 3] + filler[k * 10 : k * 10 + 300]])
 
 
-def test_rare_abbreviations(spark, monkeypatch):
+def test_rare_abbreviations(spark):
     names, nouns = "Zadell Orlach Torvel Kiner Masub Pelor".split(), "mapa libro carta bolsa".split()
     told = " ".join(f"La {nouns[k % 4]} que {names[k % 6]} tiene es de {names[(k + 1) % 6]}. Los {nouns[(k + 1) % 4]}s no están en la casa de {names[(k + 2) % 6]}." for k in range(60))
     rare = [f"Ayer la Srta. {n} vio el mapa de la casa." for n in names[:5]]
@@ -136,6 +136,20 @@ def test_rare_abbreviations(spark, monkeypatch):
     got = units(spark, texts)
     assert [got[i] for i in range(1, 6)] == [[t] for t in rare]  # as in a corpus with many such cases
     assert len(got[0]) == 120
-    # types that are too rare to be broadcast tell the same
-    monkeypatch.setattr(sentences, "FLOOR_SHARE", 0.02)
-    assert units(spark, texts) == got
+
+
+def test_repeated_documents_and_label_profiles(spark):
+    """Repeated rows count once, equal texts under several ids each, and languages are told by learned words, not by labels alone."""
+    de = "Der Brief ist nicht in dem Keller und die Karte liegt in der Kiste."
+    en = "The letter is not in the cellar and the map lies in the box."
+    rows = [(i, f"{de}\\n\\nEs war am {i % 28 + 1}. Mai.", "de-DE") for i in range(60)] + [(100 + i, f"{en} It was late on {i}.", "EN") for i in range(60)]
+    rows += [(7, rows[7][1], "de-DE"), (200, f"{de}\n\n{en}", "und"), (201, f"{en} It was late.", "de"), (202, "1. eins\n2. zwei", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {}
+    for x in sentences.sentence_units(docs).collect():
+        got.setdefault(x.doc_id, []).append((x.start_pos, x.end_pos))
+    assert sorted(got[7]) == [(0, len(de)), (len(de) + 2, len(rows[7][1]))]
+    assert sorted(got[200]) == [(0, len(de)), (len(de) + 2, len(de) + 2 + len(en))] and len(got[202]) == 2
+    told = sentences.learn_languages(docs)
+    assert told.of("", de.split(), None)[0] == "de" and told.of("", en.split(), "de")[0] == "en"
+    assert told.of("список на складе", [], "de") == ("CYRILLIC", "CYRILLIC") and told.of("今日は晴れ", [], "en")[1] == "HIRAGANA"
