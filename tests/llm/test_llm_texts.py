@@ -142,7 +142,7 @@ def test_repeated_documents_and_label_profiles(spark):
     """Repeated rows count once, equal texts under several ids each, and languages are told by learned words, not by labels alone."""
     de = "Der Brief ist nicht in dem Keller und die Karte liegt in der Kiste."
     en = "The letter is not in the cellar and the map lies in the box."
-    rows = [(i, f"{de}\\n\\nEs war am {i % 28 + 1}. Mai.", "de-DE") for i in range(60)] + [(100 + i, f"{en} It was late on {i}.", "EN") for i in range(60)]
+    rows = [(i, f"{de}\n\nEs war am {i % 28 + 1}. Mai.", "de-DE") for i in range(60)] + [(100 + i, f"{en} It was late on {i}.", "EN") for i in range(60)]
     rows += [(7, rows[7][1], "de-DE"), (200, f"{de}\n\n{en}", "und"), (201, f"{en} It was late.", "de"), (202, "1. eins\n2. zwei", None)]
     docs = spark.createDataFrame(rows, DOCS)
     got = {}
