@@ -153,3 +153,41 @@ def test_repeated_documents_and_label_profiles(spark):
     told = sentences.learn_languages(docs)
     assert told.of("", de.split(), None)[0] == "de" and told.of("", en.split(), "de")[0] == "en"
     assert told.of("список на складе", [], "de") == ("CYRILLIC", "CYRILLIC") and told.of("今日は晴れ", [], "en")[1] == "HIRAGANA"
+
+
+def test_leaks_of_shared_and_short_items(spark, monkeypatch):
+    """Copies of one item leak under all ids; items without windows of their own, short ones and long mark-up hide nothing; blocks change nothing."""
+    r = random.Random(12)
+    text = make_item(r)
+    near = [text.replace("moved", x) for x in ("moved", "carried", "brought", "taken")]  # every window but a few is shared
+    other = make_item(r)
+    items = [(1, text), (2, text.upper()), (3, text + " "), (11, near[1]), (12, near[2]), (13, near[3]), (20, "Quibble zanoc"), (21, "漢字文"), (30, other)]
+    tagged = other.replace(" second ", ' <span style="' + "x" * 200 + '">second</span> ')
+    docs = spark.createDataFrame([(1, f"a {text} b", None), (2, "so quibble, ZANOC it is", None), (3, "quibble", None), (4, "これは漢字文です", None), (5, tagged, None), (6, near[3], None)], DOCS)
+    find = lambda: {(x.doc_id, x.item_id) for x in leaks.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = find()
+    assert {(1, 1), (1, 2), (1, 3), (2, 20), (4, 21), (5, 30), (6, 13)} <= got and not {d for d, _ in got} & {3}
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 300)
+    assert find() == got
+
+
+def test_long_passage_with_many_edits():
+    w = [f"w{i}" for i in range(3000)]
+    known = leaks.Items([(1, " ".join(w))])
+    edited = [x if i % 5 else "zz" for i, x in enumerate(w)]
+    ((_, share, _),) = known.leaked(" ".join(edited), 1 / 3)
+    assert share > 0.95
+    # against the plain chain over all pairs of runs
+    r = random.Random(5)
+    for _ in range(60):
+        runs = sorted({(r.randint(0, 900), r.randint(0, 60), r.randint(2, 9)) for _ in range(r.randint(1, 40))})
+        top = []
+        for j, (p, k, n) in enumerate(runs):
+            gain = n
+            for q, (p2, k2, n2) in enumerate(runs[:j]):
+                cut = max(0, p2 + n2 - p, k2 + n2 - k)
+                if p2 < p and k2 < k and cut < n:
+                    gap, inserted = k - k2 - n2, p - p2 - n2
+                    gain = max(gain, top[q] + n - cut + (gap if 0 < gap <= 4 and inserted <= gap + 3 else 0) - min(6, max(0, inserted - 20) / 20))
+            top.append(gain)
+        assert abs(leaks.Items._passage(runs)[0] - max(top)) < 1e-9
