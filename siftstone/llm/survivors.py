@@ -1,17 +1,21 @@
 """Problem 4: the best representative of each duplicate group.
 
-Skyline selection. A record is dominated by another of its group that is better in completeness, in recency and in
-trust alike. Among the undominated ones the lexicographic policy (recency, unmarked name, shorter path, lowest key)
-decides. A field that the survivor lacks is taken from the skyline of the records that have it, that is from the first
-dominance layer that offers a value once the layers without one are peeled off.
+Skyline selection. A record has three dimensions: completeness (how many fields it has), trust (of its date's source) and
+its place in the keep order (recency, unmarked name, shorter path, lowest key; no two records share a place). It is
+dominated by another of its group that is at least as good in all three and better in one. The survivor is the first of
+the undominated records by a lexicographic policy, which is an argument. A field that it lacks is filled from the
+successive dominance layers: from the first layer that offers a value, and of that layer by the field's own policy.
 
 A group is never gathered: completeness and trust have few levels, so the records of a group fall into at most
-``2**3 * 4`` cells, of each of which only the first by policy can be chosen. The cells are reduced with map-side
-combining, and the skyline runs over the cells' representatives.
+``2**3 * 5`` cells, and the first of a cell in keep order dominates the rest of it. The cells are reduced with map-side
+combining, and layers are counted over the cells' first records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +26,51 @@ from siftstone.session import table
 # Sources of a capture date, the most trusted first; anything else, null included, comes last.
 TRUST = ["DateTimeOriginal", "DateTimeDigitized", "DateTime"]
 
+#: What a policy may go by, each so that the lesser value is the better one.
+CRITERIA = {
+    "order": lambda r: r["order"],
+    "completeness": lambda r: -r["full"],
+    "trust": lambda r: r["trust"],
+    "path_length": lambda r: r["order"]["len"],
+}
+DATES_BY_TRUST = {"exif_unix": ("trust", "order")}
+FIELDS = {"mtime_unix": "m", "img_dims": "d", "exif_unix": "e"}
+
+
+def _dominates(s: Column, r: Column) -> Column:
+    no_worse = (s["full"] >= r["full"]) & (s["trust"] <= r["trust"]) & (s["order"] <= r["order"])
+    return no_worse & ((s["full"] > r["full"]) | (s["trust"] < r["trust"]) | (s["order"] < r["order"]))
 
-def _beats(s: Column, r: Column) -> Column:
-    return (s["full"] > r["full"]) & (s["ts"] > r["ts"]) & (s["trust"] < r["trust"])
 
+def _having(*names: str) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda c, n: c[n], names, x)
 
-def skyline(cells: Column) -> Column:
-    """The records of an array that no other record of it dominates."""
-    return F.filter(cells, lambda r: ~F.exists(cells, lambda s: _beats(s, r)))
+
+def layered(records: Column, kind: str) -> Column:
+    """The records of an array, of that type, with their dominance layer: 0 for the undominated, n for those that only layers below n dominate."""
+    # better ones first: whatever dominates a record stands before it
+    ordered = F.transform(
+        F.array_sort(F.transform(records, lambda r: F.struct((-r["full"]).alias("f"), r["trust"].alias("t"), r["order"].alias("o"), r.alias("r")))), lambda x: x["r"]
+    )
+    empty = F.array().cast(f"array<struct<layer:int,r:{kind}>>")
+    below = lambda acc, r: F.array_max(F.transform(F.filter(acc, lambda s: _dominates(s["r"], r)), lambda s: s["layer"]))
+    return F.aggregate(ordered, empty, lambda acc, r: F.concat(acc, F.array(F.struct((F.coalesce(below(acc, r), F.lit(-1)) + 1).alias("layer"), r.alias("r")))))
 
 
-def survivors(files: DataFrame, archives: DataFrame) -> DataFrame:
+def survivors(
+    files: DataFrame, archives: DataFrame, policy: tuple[str, ...] = ("order",), field_policy: dict[str, tuple[str, ...]] | None = None, layers_of_all: bool = False
+) -> DataFrame:
     """``(content_hash, field, archive_id, file_id)`` for every content with two or more different in-scope rows.
 
+    ``policy`` names criteria (see CRITERIA) that decide among the undominated records, ties going by keep order;
+    ``field_policy`` the same for single fields, where left out: dates by trust. Fields are filled from the layers among the records that offer them or,
+    with ``layers_of_all``, from the layers of the whole group.
+
     Repeated rows of one key count once; a null date is older than any other; a null path counts as longest and
     unmarked; a field that is null in all rows of its group gives no row; an empty table gives no rows. An archive that
     is missing from the registry has no date of indexing.
     """
+    field_policy = DATES_BY_TRUST if field_policy is None else field_policy
     seen = archives.groupBy("archive_id").agg(F.max("indexed_unix").alias("indexed_unix"))
     rows = files.where(in_scope()).select("archive_id", "file_id", "path", "content_hash", "exif_unix", "exif_src", "mtime_unix", F.col("img_w").isNotNull().alias("has_dims"))
     rows = rows.join(seen, "archive_id", "left")
@@ -53,33 +85,44 @@ def survivors(files: DataFrame, archives: DataFrame) -> DataFrame:
         F.struct(
             (-F.coalesce(best_ts(), lowest + 1)).alias("ts"), F.coalesce(has_conflict_marker("path"), F.lit(False)).alias("marked"),
             F.coalesce(F.octet_length("path"), F.lit(2**31 - 1)).alias("len"), "archive_id", "file_id",
-        ).alias("policy"),
+        ).alias("order"),
     )
     cells = cell.groupBy("content_hash", "e", "m", "d", "trust").agg(
-        F.min("policy").alias("policy"), *[f(c).alias(f"{w}_{c}") for c in ("archive_id", "file_id") for w, f in (("lo", F.min), ("hi", F.max))]
+        F.min("order").alias("order"), *[f(c).alias(f"{w}_{c}") for c in ("archive_id", "file_id") for w, f in (("lo", F.min), ("hi", F.max))]
     )
-    record = F.struct(
-        "policy", "e", "m", "d", "trust", (-F.col("policy.ts")).alias("ts"),
-        (F.col("e").cast("int") + F.col("m").cast("int") + F.col("d").cast("int")).alias("full"),
-    )
+    full = F.col("e").cast("int") + F.col("m").cast("int") + F.col("d").cast("int")
     group = cells.groupBy("content_hash").agg(
-        F.collect_list(record).alias("cells"), F.min("lo_archive_id").alias("la"), F.max("hi_archive_id").alias("ha"), F.min("lo_file_id").alias("lf"), F.max("hi_file_id").alias("hf")
-    )
+        F.collect_list(F.struct("order", "e", "m", "d", "trust", full.alias("full"))).alias("cells"),
+        F.min("lo_archive_id").alias("la"), F.max("hi_archive_id").alias("ha"), F.min("lo_file_id").alias("lf"), F.max("hi_file_id").alias("hf"),
+    )
     group = group.where("la < ha or lf < hf")
-
-    def first(of: Column, by_trust: bool = False) -> Column:
-        """The policy's first record of the skyline, by trust before all else where asked."""
-        best = F.array_min(F.transform(skyline(of), lambda r: F.struct((r["trust"] if by_trust else F.lit(0)).alias("t"), r["policy"].alias("p"))))
-        return F.struct(best["p"]["archive_id"].alias("archive_id"), best["p"]["file_id"].alias("file_id"))
-
-    offering = lambda f: F.filter("cells", lambda r: r[f])
-    picks = [("record", first(F.col("cells"))), ("mtime_unix", first(offering("m"))), ("img_dims", first(offering("d"))), ("exif_unix", first(offering("e"), by_trust=True))]
+    kind = group.schema["cells"].dataType.elementType.simpleString()
+    group = group.withColumn("layers", layered(F.col("cells"), kind))
+
+    def first(of: Column, by: tuple[str, ...], every_layer: bool) -> Column:
+        """The first record of the lowest layer (or of layer 0) by a policy, and in keep order where that leaves ties."""
+        if not every_layer:
+            of = F.filter(of, lambda x: x["layer"] == 0)
+        key = lambda x: F.struct(x["layer"].alias("layer"), *[CRITERIA[c](x["r"]).alias(f"c{i}") for i, c in enumerate(by)], x["r"]["order"].alias("o"))
+        best = F.array_min(F.transform(of, key))
+        return F.struct(best["o"]["archive_id"].alias("archive_id"), best["o"]["file_id"].alias("file_id"))
+
+    picks = [("record", first(F.col("layers"), policy, False))]
+    for name, flag in FIELDS.items():
+        by = field_policy.get(name, policy)
+        if layers_of_all:
+            picks.append((name, first(F.filter("layers", _having("r", flag)), by, True)))
+        else:
+            # nothing dominates a record that offers the field but lacks what others have: those without the field are left out before layers are counted
+            offering, all_offer = F.filter("cells", _having(flag)), F.forall("cells", _having(flag))
+            picks.append((name, F.when(all_offer, first(F.col("layers"), by, False)).otherwise(first(layered(offering, kind), by, False))))
     out = group.select(F.lower(F.hex("content_hash")).alias("content_hash"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("row")) for n, c in picks])).alias("p"))
     return out.select("content_hash", "p.field", "p.row.archive_id", "p.row.file_id").where("archive_id is not null")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(table(spark, sf_dir, "files"), table(spark, sf_dir, "archives"))
+    """The required order is the keep order, dates by trust before it."""
+    return survivors(table(spark, sf_dir, "files"), table(spark, sf_dir, "archives"), policy=("order",), field_policy=DATES_BY_TRUST)
 
 
 P4_SQL = r"""

@@ -108,3 +108,56 @@ def test_paths_restored(make_files):
     got = {r.file_id: r.path_fixed for r in encodings.restore_paths(make_files(rows)).collect()}
     assert got == {i: f"d/{want}.txt" if want else "" for i, (_, _, want) in bad.items()}
     assert encodings.restore_paths(make_files(rows).limit(0)).count() == 0
+
+
+def test_skyline_layers_and_policies(make_files, make_archives):
+    """Against brute force: layers by peeling, the policy's first among the undominated, fields from the layers."""
+    r = random.Random(8)
+    rows = []
+    for g in range(40):
+        for i in range(r.randint(2, 9)):
+            exif = r.choice([None, r.randint(1, 9)])
+            rows.append(dict(
+                archive_id=r.randint(1, 3), file_id=g * 20 + i, path="p" * r.randint(1, 9) + ".jpg", mtime_unix=r.choice([None, r.randint(1, 9)]), exif_unix=exif,
+                exif_src=r.choice([None, *survivors.TRUST]) if exif else None, img_w=r.choice([None, 5]), content_hash=bytes([g]) * 32,
+            ))
+    indexed = {1: None, 2: 4, 3: 7}
+    trust = lambda x: (survivors.TRUST.index(x["exif_src"]) if x["exif_src"] else 3) if x["exif_unix"] else 4
+    full = lambda x: (x["exif_unix"] is not None) + (x["mtime_unix"] is not None) + (x["img_w"] is not None)
+
+    def order(x):
+        ts = next((v for v in (x["exif_unix"], x["mtime_unix"], indexed[x["archive_id"]]) if v is not None), None)
+        return (-(ts if ts is not None else -(1 << 62)), len(x["path"]), x["archive_id"], x["file_id"])
+
+    def peel(group):
+        """Layers over the first record of each cell."""
+        cells = {}
+        for x in sorted(group, key=order):
+            cells.setdefault((x["exif_unix"] is None, x["mtime_unix"] is None, x["img_w"] is None, trust(x)), x)
+        left, out = list(cells.values()), []
+        beats = lambda s, x: s is not x and full(s) >= full(x) and trust(s) <= trust(x) and order(s) < order(x)
+        while left:
+            top = [x for x in left if not any(beats(s, x) for s in left)]
+            out.append(top)
+            left = [x for x in left if x not in top]
+        return out
+
+    criteria = {"order": order, "completeness": lambda x: -full(x), "trust": trust, "path_length": lambda x: len(x["path"])}
+    changed = 0
+    for policy, all_layers in ((("order",), False), (("path_length",), False), (("completeness", "order"), True), (("trust", "path_length"), True)):
+        want = {}
+        key = lambda x, policy=policy: (*[criteria[c](x) for c in policy], order(x))
+        for g in range(40):
+            group = [x for x in rows if x["content_hash"][0] == g]
+            layers = peel(group)
+            pick = min(layers[0], key=key)
+            changed += key(pick) != min(map(key, group))
+            want[f"{g:02x}", "record"] = pick["archive_id"], pick["file_id"]
+            for field, column in (("mtime_unix", "mtime_unix"), ("img_dims", "img_w"), ("exif_unix", "exif_unix")):
+                if offer := [x for x in group if x[column] is not None]:
+                    of = next([x for x in layer if x[column] is not None] for layer in layers if any(x[column] is not None for x in layer)) if all_layers else peel(offer)[0]
+                    best = min(of, key=key)
+                    want[f"{g:02x}", field] = best["archive_id"], best["file_id"]
+        got = survivors.survivors(make_files([dict(kind="image", **x) for x in rows]), make_archives(list(indexed.items())), policy, {}, all_layers)
+        assert {(x.content_hash[:2], x.field): (x.archive_id, x.file_id) for x in got.collect()} == want
+    assert changed  # the skyline does change who survives
