@@ -3,13 +3,16 @@
 A fingerprint is cut into ``t + 2`` bands. Two values that differ in at most ``t`` bits agree in at least two of the
 bands, so an equality join on every pair of bands meets each close pair. A bucket that holds many values is not
 compared as it is and not capped: its free bits are cut into ``t + 1`` parts, one of which must agree as well, and it
-is split by those, twice if need be.
+is split by those, twice if need be. What is still crowded then has few free bits left (21 of 64 at a distance of three),
+so its values are looked up by equality with every way to flip up to ``t`` of these bits. No bucket is ever compared
+whole in one task beyond a fixed number of pairs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,20 +67,38 @@ def _first_mask(x: Column, masks: list[int]) -> Column:
     return when
 
 
+def _flips(free: list[int], threshold: int) -> list[int]:
+    """Every xor of up to threshold of the free bits, none included."""
+    return [signed(sum(1 << b for b in c)) for d in range(threshold + 1) for c in combinations(free, d)]
+
+
+def _hot(left: DataFrame, right: DataFrame, most: int, same: bool, work: Scratch) -> DataFrame | None:
+    """The buckets (m, v) in which more than most**2 pairs would be compared, None if there are none."""
+    many = right.groupBy("m", "v").agg(F.count(F.lit(1)).alias("nr"))
+    if same:
+        many = many.where(F.col("nr") > most).select("m", "v")
+    else:
+        many = many.join(left.groupBy("m", "v").agg(F.count(F.lit(1)).alias("nl")), ["m", "v"]).where(F.col("nr") * F.col("nl") > most * most).select("m", "v")
+    hot = work.save(many, "hot")
+    return hot if hot.take(1) else None
+
+
 def close_keyed(
     left: DataFrame, right: DataFrame, threshold: int, masks: list[int], work: Scratch, hot_bucket: int = HOT_BUCKET, ordered: bool = False, extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """Pairs (lh, rh) of the keyed tables ``left(m, v, lh)`` and ``right(m, v, rh)`` within the threshold.
 
-    Each pair of rows comes out once; ``extra`` columns of right are kept beside it.
+    Each pair of rows comes out once; ``extra`` columns of right are kept beside it. With ``ordered`` both sides hold the
+    same values, and pairs come out with lh < rh.
     """
     parts: list[DataFrame] = []
     level = 0
     while True:
-        wide = level == LEVELS  # what is left after that shares over half of its bits and is compared as it is
-        hot = None if wide else work.save(right.groupBy("m", "v").count().where(F.col("count") > hot_bucket).select("m", "v"), "hot")
-        if hot is not None and not hot.take(1):
-            hot = None
+        free = [[b for b in range(64) if not k >> b & 1] for k in masks]
+        flips = max(sum(comb(len(f), d) for d in range(threshold + 1)) for f in free)
+        last = level == LEVELS
+        # at the last level a value meets its bucket or all its flips, whatever is less
+        hot = _hot(left, right, max(hot_bucket, flips) if last else hot_bucket, ordered, work)
         calm = right if hot is None else right.join(hot, ["m", "v"], "left_anti")
         x = F.col("lh").bitwiseXOR(F.col("rh"))
         found = left.join(calm, ["m", "v"]).where(F.bit_count(x) <= threshold)
@@ -88,6 +109,9 @@ def close_keyed(
         parts.append(found.select("lh", "rh", *extra))
         if hot is None:
             break
+        if last:
+            parts.append(_by_flips(left, right, hot, free, threshold, ordered, extra))
+            break
         deeper = [split_masks(k, threshold) for k in masks]
         flat = sorted({k for ks in deeper for k in ks})
         place = {k: i for i, k in enumerate(flat)}
@@ -99,7 +123,17 @@ def close_keyed(
 
         left, right, masks = work.save(finer(left, "lh"), "finer-left"), work.save(finer(right, "rh", *extra), "finer-right"), flat
         level += 1
-    return parts[0] if level == 0 else reduce(DataFrame.union, parts).distinct()
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).distinct()
+
+
+def _by_flips(left: DataFrame, right: DataFrame, hot: DataFrame, free: list[list[int]], threshold: int, ordered: bool, extra: tuple[str, ...]) -> DataFrame:
+    """The close pairs within hot buckets, by equality of values; the masks are joined as a small table."""
+    spark = left.sparkSession
+    ways = spark.createDataFrame([(m, _flips(f, threshold)) for m, f in enumerate(free)], "m int, flips array<long>")  # a row for each mask
+    ours = left.join(hot, ["m", "v"], "left_semi").join(F.broadcast(ways), "m").select("m", "lh", F.explode("flips").alias("_x")).select("m", "lh", F.col("lh").bitwiseXOR(F.col("_x")).alias("rh"))
+    theirs = right.join(hot, ["m", "v"], "left_semi").select("m", "rh", *extra)
+    found = ours.where("lh < rh") if ordered else ours
+    return found.join(theirs, ["m", "rh"]).select("lh", "rh", *extra).distinct()
 
 
 def hamming_pairs(hashes: DataFrame, h: str, threshold: int = 3, work: Scratch | None = None, hot_bucket: int = HOT_BUCKET) -> DataFrame:

@@ -109,3 +109,27 @@ def test_heavy_values(make_files):
     n = {(r.key_field, bytes(r.key).hex()): r.n for r in value_counts(f).collect()}
     assert n[("content_hash", "01" * 32)] == 100 and n[("phash", "f" * 16)] == 150
     assert heavy_values(f.limit(0)).count() == 0
+
+
+def test_crowded_fingerprints(spark):
+    """Values within three bits of one centre, which no band tells apart, against numpy."""
+    import numpy as np
+
+    from siftstone.operators import hamming
+
+    r = np.random.default_rng(3)
+    centre = 0x5A5A_1234_9876_F0F0
+    low = np.arange(21)
+    values = {centre ^ sum(1 << int(b) for b in r.choice(low, 3, replace=False)) for _ in range(900)} | {centre}
+    values |= {centre ^ (1 << 60), centre ^ (1 << 60) ^ (1 << 40), 77}
+    v = np.array(sorted(values), dtype=np.uint64)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
+    want = {(int(a), int(b)) for a, b in ((min(x, y), max(x, y)) for x, y in ((hamming.signed(int(v[i])), hamming.signed(int(v[j]))) for i, j in zip(*np.nonzero(np.triu(near, 1)))))}
+    df = spark.createDataFrame([(hamming.signed(int(x)),) for x in v] * 2 + [(None,)], "h long")
+    flips, hamming.comb = hamming.comb, lambda n, d: 1  # so that the last level takes the flips at this small size
+    try:
+        got = [(x.a, x.b) for x in hamming.hamming_pairs(df, "h", 3, hot_bucket=16).collect()]
+    finally:
+        hamming.comb = flips
+    assert set(got) == want and len(got) == len(want)
+    assert {(x.a, x.b) for x in hamming.hamming_pairs(df, "h", 3, hot_bucket=16).collect()} == want
