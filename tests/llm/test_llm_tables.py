@@ -161,3 +161,26 @@ def test_skyline_layers_and_policies(make_files, make_archives):
         got = survivors.survivors(make_files([dict(kind="image", **x) for x in rows]), make_archives(list(indexed.items())), policy, {}, all_layers)
         assert {(x.content_hash[:2], x.field): (x.archive_id, x.file_id) for x in got.collect()} == want
     assert changed  # the skyline does change who survives
+
+
+def test_history_stores_first_seen_keys_and_grows(spark):
+    """A key is stored once, buckets double with the store, and a small batch reads no more of a store four times as large."""
+    work = Scratch(spark, "grow")
+    store = history.History(spark, work.path("h"), bucket_rows=400)
+    make = lambda seq, lo, hi: spark.range(lo, hi).selectExpr(f"{seq}L as seq", "cast(sha2(cast(id as string), 256) as binary) as content_hash", "xxhash64(id) as phash")
+    read = []
+    for seq in range(1, 5):
+        found = store.accept(make(seq, 0, 150 * seq))
+        assert {x.match_kind: x["count"] for x in found.groupBy("match_kind").count().collect()} == ({"exact": 150 * (seq - 1)} if seq > 1 else {}) | {None: 150}
+        probe = work.save(make(9, 0, 3).select("content_hash").withColumn("bucket", store._bucket("content_hash")), "few")
+        files = store._read("exact").where(F.col("bucket").isin([r.bucket for r in probe.collect()]))
+        read.append(files.count())
+        assert store._matching("exact", probe, ["content_hash"]).count() == 3
+    assert store._read("exact").count() == 600 and store._read("near").count() == 6000
+    assert history.History(spark, store.at).state == store.state and store.buckets >= 8
+    assert read[-1] <= 3 * max(1, 2 * 600 // store.buckets) + 60
+    # one fingerprint that comes with every batch is stored once
+    again = history.History(spark, work.path("same"), buckets=2)
+    for seq in range(6):
+        again.append(make(seq, 0, 1).withColumn("content_hash", F.lit(bytes([seq]) * 32)))
+    assert again._read("near").count() == 10 and again._read("exact").count() == 6
