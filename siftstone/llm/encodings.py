@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -231,14 +232,13 @@ class Reader:
 
     def segment(self, seg: str) -> str:
         """The segment as it was meant; the same text if it is sound."""
-        if len(seg) > 300:
-            return self._repair(seg)
         key = re.sub(r"\d+", "0", seg)
         if (known := self._segments.get(key)) is None:
             known = self._repair(key)
             if len(self._segments) > 200_000:
                 self._segments.clear()
-            self._segments[key] = known
+            if len(key) <= 300:  # long ones hardly come again
+                self._segments[key] = known
         if known == key:
             return seg
         numbers = re.findall(r"\d+", seg)
@@ -351,7 +351,7 @@ class Reader:
         return sum(self.score(w)[0] for w in words) / n > FLOOR and not any(self.damaged(w) for w in words)
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[str, Reader] = {}  # of this worker process, by the token of the query
 
 
 def restore_paths(files: DataFrame) -> DataFrame:
@@ -362,13 +362,14 @@ def restore_paths(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     model = spark.sparkContext.broadcast(name_model(files))  # of bounded size, see name_model
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _READERS.get(model.id if hasattr(model, "id") else 0)
+        reader = _READERS.get(token)
         if reader is None:
             reader = Reader(*model.value)
             _READERS.clear()
-            _READERS[model.id if hasattr(model, "id") else 0] = reader
+            _READERS[token] = reader
         for b in batches:
             fixed = [reader.path(p, None if r is None else bytes(r)) for p, r in zip(b["path"], b["path_raw"])]
             keep = [f is not None for f in fixed]

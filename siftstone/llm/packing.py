@@ -7,7 +7,8 @@ still has room, so that sequences come out both full and alike in work.
 
 At scale nothing is packed in one place: items are dealt, by size rank within a random order, to shards of a bounded
 number of tokens, each shard is packed on its own, and what is left in each shard's last, poorly filled containers is
-packed again in fewer, coarser shards until one bounded shard is left.
+packed again in fewer, coarser shards until one bounded shard is left, or until a round seals less than a fifth of its
+items.
 """
 
 from __future__ import annotations
@@ -98,20 +99,23 @@ def _pack_once(sizes: list[int], capacity: int, gap: int, level: int) -> list[in
     left = [capacity + gap] * k
     cost = [0.0] * k
     cheap = [(0.0, c) for c in range(k)]  # heap of (cost, container), with entries that are out of date
+    full: list[tuple[int, int]] = []  # heap of (-room, container): what had no room, until items are short enough for it
     rooms = [(capacity + gap, c) for c in range(k)]  # sorted by room
     where = [0] * len(sizes)
     for i in order:
-        need, c, tried = sizes[i] + gap, -1, []
-        while sizes[i] <= level and cheap and len(tried) < 8:
+        need, c = sizes[i] + gap, -1
+        while full and -full[0][0] >= need:  # needs only fall, so each container comes back once for each item it takes
+            room, x = heapq.heappop(full)
+            if left[x] == -room:
+                heapq.heappush(cheap, (cost[x], x))
+        while sizes[i] <= level and cheap and c < 0:
             price, x = heapq.heappop(cheap)
-            if price != cost[x] or left[x] <= gap:
+            if price != cost[x]:
                 continue
             if left[x] >= need:
                 c = x
-                break
-            tried.append((price, x))
-        for entry in tried:
-            heapq.heappush(cheap, entry)
+            else:
+                heapq.heappush(full, (-left[x], x))
         if c < 0 and (j := bisect_left(rooms, (need, -1))) < len(rooms):
             c = rooms[j][1]
         if c < 0:
@@ -154,11 +158,14 @@ def pack_documents(counts: DataFrame, targets: DataFrame, shard_items: int = SHA
     work = Scratch(spark, "packing")
     items = work.save(pieces(counts.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), targets), "items")
     done: list[DataFrame] = []
-    level = 0
+    level, before = 0, None
     while True:
-        largest = items.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        sizes = {r["target_id"]: r["count"] for r in items.groupBy("target_id").count().collect()}  # a row per container kind
+        largest, left = max(sizes.values(), default=0), sum(sizes.values())
         shards = max(1, -(-largest // shard_items))
-        last = shards == 1 or level == 6
+        # shards are drawn at random and look alike: where a round could seal hardly any container, the next can't either
+        last = shards == 1 or before is not None and left > 0.8 * before
+        before = left
         spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards))
         packed = work.save(_pack_shards(items.withColumn("shard", spread.cast("long")), "shard", last), "packed")
         done.append(packed.where("kept").withColumn("level", F.lit(level)))

@@ -191,3 +191,24 @@ def test_long_passage_with_many_edits():
                     gain = max(gain, top[q] + n - cut + (gap if 0 < gap <= 4 and inserted <= gap + 3 else 0) - min(6, max(0, inserted - 20) / 20))
             top.append(gain)
         assert abs(leaks.Items._passage(runs)[0] - max(top)) < 1e-9
+
+
+def test_cheapest_container_with_room():
+    """Against brute force: every item in the cheapest container that has room, however many are cheaper but full."""
+    r = random.Random(4)
+    for _ in range(30):
+        cap, gap = r.choice([(100, 0), (64, 1)])
+        sizes = [r.choice([1, 2, 3, r.randint(1, cap)]) for _ in range(r.randint(1, 120))]
+        got = packing._pack_once(sizes, cap, gap, cap)
+        k = max(1, -(-sum(s + gap for s in sizes) // (cap + gap)))
+        left, cost, want = [cap + gap] * k, [0.0] * k, [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fit = [c for c in range(len(left)) if left[c] >= sizes[i] + gap]
+            if not fit:
+                left.append(cap + gap)
+                cost.append(0.0)
+                fit = [len(left) - 1]
+            c = want[i] = min(fit, key=lambda c: (cost[c], c))
+            left[c] -= sizes[i] + gap
+            cost[c] += sizes[i] + packing.QUADRATIC * sizes[i] ** 2
+        assert got == want
