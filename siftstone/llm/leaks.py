@@ -503,40 +503,55 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST_SHAR
     work = Scratch(spark, "leaks")
     docs = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
     different, same = prepared(items, work)
-    out = None
+    blocks = item_blocks(different)
+    block, following = next(blocks, None), None
+    out, several = None, False
     pairs = "array<struct<s:long,e:long>>"
-    for block in item_blocks(different):
+    while block is not None:
+        following = next(blocks, None)
+        several = several or following is not None
         known = spark.sparkContext.broadcast(Items(block))  # of bounded size, see BLOCK_CHARS
 
-        def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], known=known, several=several) -> Iterator[pd.DataFrame]:
             items = known.value
             for b in batches:
                 rows = []
                 for doc, text in zip(b["doc_id"], b["text"]):
                     w = words(text)
                     if found := items.reproduced(w, least):
+                        if not several:
+                            found = [found[j] for j in Items.explained(found)]
                         at = word_offsets(text)
                         sure = len(at) == len(w)
                         for i, share, pieces in found:
                             spans = [(at[s][0], at[e - 1][1]) if sure else (None, None) for s, e in items._passages(i, pieces)]
-                            rows.append((doc, i, share, [{"s": s, "e": e} for s, e in pieces], [{"s": s, "e": e} for s, e in spans]))
+                            rows.append((doc, i, share, [{"s": s, "e": e} for s, e in pieces] if several else None, [{"s": s, "e": e} for s, e in spans]))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "pieces", "spans"])
 
         part = docs.mapInPandas(run, f"doc_id long, item_id long, share double, pieces {pairs}, spans {pairs}")
-        out = part if out is None else out.union(part)
+        out, block = part if out is None else out.union(part), following
     if out is None:
         return spark.createDataFrame([], LEAKS)
-
-    def judge(found: pd.DataFrame) -> pd.DataFrame:
-        """What one document leaks, items of all blocks together."""
-        found = found.drop_duplicates(["item_id", "share"]).reset_index(drop=True)
-        stay = Items.explained([(i, share, [(x["s"], x["e"]) for x in pieces]) for i, share, pieces in zip(found["item_id"], found["share"], found["pieces"])])
-        rows = [(found["doc_id"][j], found["item_id"][j], found["share"][j], x["s"], x["e"]) for j in stay for x in found["spans"][j]]
-        return pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start_pos", "end_pos"]).astype({"start_pos": "Int64", "end_pos": "Int64"})
-
-    # a document's leaks are bounded by its length
-    judged = out.groupBy("doc_id").applyInPandas(judge, LEAKS)
-    return judged.join(same, "item_id").select("doc_id", F.col("same").alias("item_id"), "share", "start_pos", "end_pos")
+    if several:
+        out = _judged(work.save(out, "found"))
+    flat = out.select("doc_id", "item_id", "share", F.explode("spans").alias("x")).select("doc_id", "item_id", "share", F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos"))
+    flat = flat.dropDuplicates(["doc_id", "item_id", "start_pos", "end_pos"])
+    return flat.join(same, "item_id").select("doc_id", F.col("same").alias("item_id"), "share", "start_pos", "end_pos")
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """What was found by items of several blocks, without what another item explains; a document's leaks are bounded by its length."""
+
+    def judge(of: pd.DataFrame) -> pd.DataFrame:
+        of = of.drop_duplicates("item_id").reset_index(drop=True)
+        stay = Items.explained([(i, share, [(x["s"], x["e"]) for x in pieces]) for i, share, pieces in zip(of["item_id"], of["share"], of["pieces"])])
+        return of.iloc[stay][["doc_id", "item_id", "share", "spans"]]
+
+    schema = "doc_id long, item_id long, share double, spans array<struct<s:long,e:long>>"
+    many = found.groupBy("doc_id").agg((F.min("item_id") < F.max("item_id")).alias("many"))
+    found = found.join(many, "doc_id")
+    alone = found.where("not many").select("doc_id", "item_id", "share", "spans")
+    return alone.unionByName(found.where("many").drop("many").groupBy("doc_id").applyInPandas(judge, schema))
 
 
 def remove_leaks(documents: DataFrame, leaks: DataFrame, whole: bool = True) -> DataFrame:
