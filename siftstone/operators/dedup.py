@@ -75,10 +75,18 @@ def scope_filter(p: DedupParams) -> Column:
 
 
 def scoped_rows(files: DataFrame, archives: DataFrame, p: DedupParams) -> DataFrame:
-    """Rows in scope with their archive's label and date; repeated rows of one key count once."""
-    a = resolve_scope(archives, p.archives).dropDuplicates(["archive_id"]).select("archive_id", F.col("label").alias("archive_label"), "indexed_unix")
-    rows = files.where(scope_filter(p)).dropDuplicates(["archive_id", "file_id"]).join(a, "archive_id")
-    return rows.withColumn("shadowed", F.coalesce(has_flag(SHADOWED), F.lit(False))).withColumn("hardlink", F.col("entry_type") == "hardlink").withColumn("ts", best_ts()).withColumn("ts_source", best_ts_source())
+    """What groups and keepers are decided by, of the rows in scope; repeated rows of one key count once.
+
+    Paths, names and dates as such stay behind: only the members of groups get them, at the end (see ``run_dedup``).
+    """
+    a = resolve_scope(archives, p.archives).dropDuplicates(["archive_id"]).select("archive_id", "indexed_unix")
+    rows = files.where(scope_filter(p)).join(a, "archive_id")
+    rows = rows.select(
+        "archive_id", "file_id", "kind", "size", "content_hash", "phash", "img_w", "img_h", best_ts().alias("ts"), F.coalesce(has_flag(SHADOWED), F.lit(False)).alias("shadowed"),
+        F.coalesce(F.col("entry_type") == "hardlink", F.lit(False)).alias("hardlink"), F.coalesce(has_flag(SPARSE), F.lit(False)).alias("sparse"),
+        F.coalesce(has_conflict_marker("path"), F.lit(False)).alias("marked"), F.octet_length("path").cast("long").alias("path_length"),
+    )
+    return rows.dropDuplicates(["archive_id", "file_id"])
 
 
 def near_labels(rows: DataFrame, threshold: int, work: Scratch) -> DataFrame:
@@ -129,8 +137,8 @@ def group_figures(members: DataFrame, p: DedupParams) -> DataFrame:
     pixels = F.coalesce("img_w", F.lit(0)).cast("long") * F.coalesce("img_h", F.lit(0)).cast("long")
     policy = F.struct(
         F.when(near, -pixels).otherwise(-ts).alias("a"),
-        F.when(near, -F.col("size")).otherwise(F.coalesce(has_conflict_marker("path"), F.lit(False)).cast("long")).alias("b"),
-        F.when(near, -ts).otherwise(F.octet_length("path").cast("long")).alias("c"),
+        F.when(near, -F.col("size")).otherwise(F.col("marked").cast("long")).alias("b"),
+        F.when(near, -ts).otherwise(F.col("path_length")).alias("c"),
         "archive_id", "file_id", F.col("phash").alias("keep_phash"), F.col("img_w").isNotNull().alias("has_dims"), F.col("ts").alias("keep_ts"),
     )
     g = members.groupBy("gkind", "gkey").agg(
@@ -152,9 +160,13 @@ def group_figures(members: DataFrame, p: DedupParams) -> DataFrame:
 
 @dataclass
 class DedupResult:
-    """Tables of a run: one row per member, one per group (sorted, limited, numbered), one of totals."""
+    """Tables of a run: one row per member, one per group (sorted, limited, numbered), one of totals.
+
+    ``decided`` holds the members without their paths, labels and dates; ``members`` fetches these when it is read.
+    """
 
     members: DataFrame
+    decided: DataFrame
     groups: DataFrame
     totals: DataFrame
 
@@ -187,12 +199,16 @@ def run_dedup(files: DataFrame, archives: DataFrame, p: DedupParams | None = Non
     live = ~is_keep & ~F.col("shadowed") & ~F.col("hardlink")
     actionable = live & ((F.col("gkind") == "exact") | F.coalesce(hamming <= p.threshold, F.lit(False)))
     out = joined.select(
-        F.col("gkind").alias("match_kind"), "gkey", "archive_id", "archive_label", "file_id", "path", "path_raw", "kind", "size", "content_hash", "phash",
-        "mtime_unix", "exif_unix", F.col("ts").alias("best_ts_unix"), F.col("ts_source").alias("best_ts_source"), F.col("img_w").alias("width"), F.col("img_h").alias("height"),
-        hamming.alias("hamming_to_keep"), is_keep.alias("keep"), F.when(is_keep, F.col("reason")).alias("keep_reason"), actionable.alias("actionable"),
-        "shadowed", F.coalesce(has_flag(SPARSE), F.lit(False)).alias("sparse"), F.when(F.col("hardlink"), F.col("path")).alias("hardlink_of"), "hardlink",
+        F.col("gkind").alias("match_kind"), "gkey", "archive_id", "file_id", "size", "content_hash", "phash", F.col("img_w").alias("width"), F.col("img_h").alias("height"),
+        hamming.alias("hamming_to_keep"), is_keep.alias("keep"), F.when(is_keep, F.col("reason")).alias("keep_reason"), actionable.alias("actionable"), "shadowed", "sparse", "hardlink",
     )
     out = work.save(out, "out")
+    labels = scope.dropDuplicates(["archive_id"]).select("archive_id", F.col("label").alias("archive_label"), "indexed_unix")
+    wide = files.where(scope_filter(p)).select("archive_id", "file_id", "path", "path_raw", "kind", "mtime_unix", "exif_unix", "exif_src").dropDuplicates(["archive_id", "file_id"])
+    wide = wide.join(labels, "archive_id").select(
+        "archive_id", "archive_label", "file_id", "path", "path_raw", "kind", "mtime_unix", "exif_unix", best_ts().alias("best_ts_unix"), best_ts_source().alias("best_ts_source")
+    )
+    full = out.join(wide, ["archive_id", "file_id"]).withColumn("hardlink_of", F.when(F.col("hardlink"), F.col("path")))
     review = ~F.col("keep") & ~F.col("shadowed") & ~F.col("hardlink") & ~F.col("actionable")
     sums = out.groupBy("match_kind", "gkey").agg(
         F.max("hamming_to_keep").alias("max_distance"),
@@ -214,4 +230,4 @@ def run_dedup(files: DataFrame, archives: DataFrame, p: DedupParams | None = Non
         ranked = ranked.orderBy("_key", "_fa", "_ff").limit(p.limit_groups)
     numbered = split_running(ranked.withColumn("_one", F.lit(1)), [], ["_key", "_fa", "_ff"], "_one", "group", work)
     numbered = numbered.withColumnRenamed("group_n", "group_id").drop("group", "_one", "_key", "keep_ts", "_fa", "_ff")
-    return DedupResult(out.drop("hardlink"), numbered, totals)
+    return DedupResult(full.drop("hardlink"), out, numbered, totals)

@@ -344,8 +344,8 @@ def federated(found: DataFrame, keys: list[str], limit: int, archive: str = "arc
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int, archive: str = "archive_id") -> DataFrame:
-    """Search every archive by itself: frequencies and lengths are those of the archive."""
+def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int | None, archive: str = "archive_id") -> DataFrame:
+    """Search every archive by itself: frequencies and lengths are those of the archive. Without a limit all hits come, and no places."""
     _check_keys(keys, "rank", "place")
     tree, _ = parse(query)
     marked = [p for p in dict.fromkeys(phrases_of(tree)) if p.terms]
@@ -360,7 +360,8 @@ def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int, a
     idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("_rows") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
     part = idf * F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
     ranks = scored.groupBy(*keys).agg((-F.sum(part)).alias("rank"))
-    return federated(hits.join(ranks, keys), keys, limit, archive)
+    found = hits.join(ranks, keys)
+    return found if limit is None else federated(found, keys, limit, archive)
 
 
 # -- snippets

@@ -13,12 +13,13 @@ import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftstone.functions.scalars import CONTENT_MODES, content_mode
 from siftstone.plans.index import Index, IndexError_, _stat, read_meta, resolve_index
 from siftstone.schema import ARCHIVES, FILES, REPLICA_COLUMNS
-from siftstone.sources.entries import hash_file
+from siftstone.sources.entries import hash_file, hasher
 
 # States of a registered index.
 OK, STALE_INDEX, INDEX_MISSING, SOURCE_MISSING, INCOMPLETE, LIMITED = "ok", "stale-index", "db-missing", "archive-missing", "incomplete", "v2-limited"
@@ -87,15 +88,27 @@ def skipped(registry: DataFrame) -> DataFrame:
 
 
 def upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new take the place of registered ones with their identity or their path, and keep their number and date."""
-    n, r = new.alias("n"), registry.alias("r")
-    hit = (F.col("n.index_uuid") == F.col("r.index_uuid")) | (F.col("n.db_path") == F.col("r.db_path"))
-    pairs = n.join(r, hit).select(F.col("n.db_path").alias("_path"), F.col("r.archive_id").alias("_id"), F.col("r.added_unix").alias("_added"))
-    placed = new.join(pairs, F.col("db_path") == F.col("_path"), "left")
-    kept = registry.join(pairs.select(F.col("_id").alias("archive_id")), "archive_id", "left_anti")
+    """Rows of new take the place of registered ones with their identity or their path, and keep their number and date.
+
+    A row that hits one registration by identity and another by path takes the number of the former, and both give way.
+    Of two new rows with one identity or path the one with the lower number counts. Rows that hit nothing get numbers
+    above the highest, in the order of their own.
+    """
+    r = registry.select(F.col("archive_id").alias("_id"), F.col("added_unix").alias("_added"), F.col("index_uuid").alias("_uuid"), F.col("db_path").alias("_path"))
+    of = lambda c: W.partitionBy(c).orderBy("archive_id")
+    once = new.withColumn("_u", F.row_number().over(of(F.coalesce("index_uuid", F.concat(F.lit("\0"), "db_path"))))).where("_u = 1").drop("_u")
+    once = once.withColumn("_p", F.row_number().over(of("db_path"))).where("_p = 1").drop("_p")
+    keys = once.select("archive_id", "index_uuid", "db_path").withColumnRenamed("archive_id", "_new")
+    by_id = keys.join(r, F.col("index_uuid") == F.col("_uuid")).select("_new", "_id", "_added", F.lit(0).alias("_way"))
+    by_path = keys.join(r, F.col("db_path") == F.col("_path")).select("_new", "_id", "_added", F.lit(1).alias("_way"))
+    hits = by_id.unionByName(by_path)
+    place = hits.groupBy("_new").agg(F.min(F.struct("_way", "_id", "_added")).alias("_h")).select("_new", "_h._id", "_h._added")
+    # two new rows may hit one registration, by identity and by path: the first keeps its number
+    place = place.withColumn("_k", F.row_number().over(W.partitionBy("_id").orderBy("_new"))).where("_k = 1").drop("_k")
+    kept = registry.join(hits.select(F.col("_id").alias("archive_id")).distinct(), "archive_id", "left_anti")
     top = registry.agg(F.coalesce(F.max("archive_id"), F.lit(0)).alias("_top"))
-    fresh = placed.join(F.broadcast(top))
-    number = F.coalesce("_id", F.col("_top") + F.col("archive_id"))
+    fresh = once.withColumnRenamed("archive_id", "_new").join(place, "_new", "left").join(F.broadcast(top))
+    number = F.coalesce("_id", F.col("_top") + F.col("_new"))
     out = fresh.select(*[number.alias(c) if c == "archive_id" else F.coalesce("_added", "added_unix").alias(c) if c == "added_unix" else F.col(c) for c in registry.columns])
     return kept.unionByName(out)
 
@@ -195,7 +208,7 @@ class Catalog:
         for r in self.registry().collect():
             try:
                 meta = read_meta(r.db_path)
-                found.append((r.db_path, meta["index_uuid"], int(meta.get("completed", "0")), int(meta.get("schema_version", "0"))))
+                found.append((r.db_path, _identity(r.db_path, r.archive_id)[1], int(meta.get("completed", "0")), int(meta.get("schema_version", "0"))))
             except IndexError_:
                 continue
         seen = self.spark.createDataFrame(found, "db_path string, index_uuid string, completed long, schema_version long")
@@ -260,15 +273,20 @@ def _identity(at: str, archive_id: int) -> tuple:
     version, completed = num("schema_version") or 0, num("completed") or 0
     mode = m.get("content_mode", "full")
     status = LIMITED if version == 2 else OK if completed else INCOMPLETE
+    source = m.get("source", "")
+    # indexes of the second version had no identity: it follows from their source and date
+    known = m.get("index_uuid") or "v2:" + hasher("blake3", f"{source}|{m.get('created_unix', '')}".encode()).digest().hex()
     return (
-        archive_id, m["index_uuid"], at, m["source"], m["source_type"], os.path.basename(m["source"]) or at, version, num("files_indexed") or 0, completed,
+        archive_id, known, at, source, m.get("source_type", "tar"), os.path.basename(source) or at, version, num("files_indexed") or 0, completed,
         num("created_unix"), num("archive_size"), num("archive_mtime_unix"), m.get("archive_fingerprint") or None, size, mtime,
         m.get("phash_algo") or None, mode if mode in CONTENT_MODES else "full", status, now, now,
     )
 
 
 def _replica(index: Index, archive_id: int) -> DataFrame:
-    """The metadata rows of an index under its number; columns that an older index lacks are null."""
+    """The metadata rows of an index under its number; columns that an older index lacks are null. An index of the second version has no hashes and replicates no rows."""
     files = index.files()
+    if index.meta.get("schema_version") == "2":
+        files = files.limit(0)
     cols = [F.col(c) if c in files.columns else F.lit(None).cast(FILES[c].dataType).alias(c) for c in REPLICA_COLUMNS if c != "archive_id"]
     return files.select(F.lit(archive_id).cast("long").alias("archive_id"), *cols)

@@ -94,8 +94,9 @@ def build_index(
     dest = index_path(source, dest)
     guard = protected or ProtectedSet()
     guard.add_file(source)
-    if kind == "dir" and os.path.dirname(dest) != source:
-        guard.check(dest)
+    if kind == "dir":
+        guard.add_tree(source)
+    guard.check(dest)
     if os.path.lexists(dest) and read_meta(dest).get("source") != source:
         raise DestinationError(f"{dest} is the index of another source")
     register(spark)

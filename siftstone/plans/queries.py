@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import os
+import tarfile
+import tempfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
+import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +28,8 @@ from siftstone.operators.words import top_words, word_freq
 from siftstone.plans import catalog
 from siftstone.plans.report import group_lines, members_json
 from siftstone.schema import SHADOWED, comparable, distinct_rows, has_flag, hex64, in_scope
-from siftstone.session import table
+from siftstone.session import Scratch, table
+from siftstone.sources.entries import register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": heavy.p2_found, "p2_value_counts": heavy.p2_value_counts}
 ORACLE_SQL: dict[str, str] = {"p2_found": heavy.P2_SQL, "p2_value_counts": heavy.P2_SPLIT_SQL}
@@ -231,6 +241,23 @@ def hardlink_chain(spark, d):
     return resolve_hardlinks(f).select("archive_id", "file_id", F.hex("content_hash").alias("hash"))
 
 
+@query(
+    """WITH RECURSIVE f AS (SELECT DISTINCT archive_id, file_id, path, content_hash FROM files),
+  l AS (SELECT f.archive_id, f.file_id, f.path, f.file_id % 3 <> 2 AND p.path IS NOT NULL AS link, p.path AS target, f.content_hash FROM f LEFT JOIN f p ON p.archive_id = f.archive_id AND p.file_id = f.file_id - 1),
+  t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY archive_id, path ORDER BY file_id DESC) = 1),
+  walk AS (SELECT archive_id, file_id, target AS at, 1 AS hop FROM l WHERE link
+    UNION ALL SELECT w.archive_id, w.file_id, t.target, hop + 1 FROM walk w JOIN t ON t.archive_id = w.archive_id AND t.path = w.at WHERE t.link AND hop < 5)
+  SELECT w.archive_id, w.file_id, lower(hex(t.content_hash)) AS hash FROM walk w JOIN t ON t.archive_id = w.archive_id AND t.path = w.at WHERE NOT t.link AND t.content_hash IS NOT NULL"""
+)
+def hardlink_files(spark, d):
+    """Two of three rows as links to the path of the row before them: what hash each link gets."""
+    f = distinct_rows(files(spark, d), "path", "content_hash")
+    before = f.select("archive_id", (F.col("file_id") + 1).alias("file_id"), F.col("path").alias("link_target"))
+    f = f.join(before, ["archive_id", "file_id"], "left").withColumn("link", F.col("link_target").isNotNull() & (F.col("file_id") % 3 != 2))
+    f = f.withColumn("entry_type", F.when(F.col("link"), "hardlink").otherwise("file")).withColumn("content_hash", F.when(~F.col("link"), F.col("content_hash")))
+    return resolve_hardlinks(f).where("link and content_hash is not null").select("archive_id", "file_id", F.lower(F.hex("content_hash")).alias("hash"))
+
+
 @query(
     f"""WITH r AS ({ROWS}) SELECT lower(hex(content_hash)) AS content_hash, count(*) AS n, count(DISTINCT archive_id) AS archives, sum(size) AS bytes FROM r GROUP BY 1
   HAVING count(*) FILTER (NOT shadowed AND NOT hardlink) >= 2 OR (count(*) FILTER (NOT shadowed AND NOT hardlink) >= 1 AND count(*) FILTER (shadowed) >= 1)"""
@@ -259,7 +286,7 @@ EXACT = f"""WITH r AS ({ROWS}), g AS (SELECT content_hash FROM r GROUP BY 1
   NOT keep AND NOT shadowed AND NOT hardlink AS actionable FROM k"""
 )
 def exact_members_keep(spark, d):
-    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(near=False)).members
+    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(near=False)).decided
     return m.select("gkey", "archive_id", "file_id", "keep", "keep_reason", "actionable")
 
 
@@ -267,7 +294,7 @@ def exact_members_keep(spark, d):
     EXACT + """ SELECT archive_id, coalesce(sum(size) FILTER (NOT keep AND NOT shadowed AND NOT hardlink), 0) AS reclaimable, count(*) AS members FROM k GROUP BY 1"""
 )
 def reclaimable_by_archive(spark, d):
-    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(near=False)).members
+    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(near=False)).decided
     return m.groupBy("archive_id").agg(F.sum(F.when(F.col("actionable"), F.col("size")).otherwise(0)).alias("reclaimable"), F.count(F.lit(1)).alias("members"))
 
 
@@ -366,7 +393,7 @@ NEAR = f"""WITH RECURSIVE r AS ({ROWS}), img AS (SELECT * FROM r WHERE kind = 'i
   FROM ranked JOIN kept USING (gkey)"""
 )
 def near_keep_actionable(spark, d):
-    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(exact=False)).members
+    m = run_dedup(files(spark, d), table(spark, d, "archives"), DedupParams(exact=False)).decided
     return m.select("gkey", "archive_id", "file_id", "keep", "hamming_to_keep", "actionable", "keep_reason")
 
 
@@ -394,8 +421,13 @@ def word_freq_ascii(spark, d):
     return word_freq(docs)
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(?:[^\p{L}\p{M}\p{N}]|[\x{300}-\x{344}\x{346}-\x{36f}\x{93c}\x{94d}\x{951}-\x{954}\x{e47}-\x{e4c}\x{e4e}])+')) AS w FROM documents),
+  k AS (SELECT doc_id, lower(w) AS word FROM w WHERE length(w) BETWEEN 3 AND 32 AND octet_length(encode(w)) BETWEEN 3 AND 128)
+  SELECT word, count(*) AS total_count, count(DISTINCT doc_id) AS doc_count FROM k GROUP BY 1"""
+)
 def word_freq_all(spark, d):
+    """The words of all scripts. The SQL names the marks that count as letters: all but those in its second class."""
     return word_freq(table(spark, d, "documents"))
 
 
@@ -411,7 +443,12 @@ def top_words_20(spark, d):
     return top_words(word_freq_ascii(spark, d), 20)
 
 
-@query()
+@query(
+    ORACLE_SQL["word_freq_all"].replace("SELECT word, count(*)", ", f AS (SELECT word, count(*)")
+    + """), t AS (SELECT *, row_number() OVER (ORDER BY total_count DESC, word) AS rank FROM f QUALIFY rank <= 20)
+  SELECT CAST(rank AS INTEGER) AS rank, word, total_count, doc_count, round(100.0 * total_count / sum(total_count) OVER (), 4) AS pct,
+    repeat('█', CAST(floor(20.0 * total_count / max(total_count) OVER () + 0.5) AS INTEGER)) AS bar FROM t"""
+)
 def top_words_all_20(spark, d):
     """The ranking of the words as they are, in all scripts; ``top_words_20`` ranks what its SQL can tell apart."""
     return top_words(word_freq_all(spark, d), 20)
@@ -494,8 +531,20 @@ def search_bm25_top(spark, d):
 )
 def search_federated(spark, d):
     keys = DOC_KEYS
-    got = search.federated_ranks(_index(spark, d), "ledger", keys, 1_000_000)
-    return search.federated(got.drop("place").withColumn("rank", F.round("rank", 9)), ["doc_id"], 3).select(*keys, F.round("rank", 6).alias("rank"), F.col("place").cast("long").alias("place"))
+    got = search.federated_ranks(_index(spark, d), "ledger", keys, None)
+    return search.federated(got.withColumn("rank", F.round("rank", 9)), ["doc_id"], 3).select(*keys, F.round("rank", 6).alias("rank"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT archive_id, file_id, path FROM files),
+  x AS (SELECT archive_id, doc_id, regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+') AS c, regexp_split_to_array(lower(strip_accents(path)), '[^\p{L}\p{N}]+') AS p FROM documents JOIN p USING (archive_id, file_id))
+  SELECT archive_id, doc_id FROM x WHERE (list_contains(c, 'releve') OR list_contains(c, 'prufung') OR list_contains(p, 'report')) AND NOT (list_contains(p, 'copy') OR list_contains(c, 'cafe'))"""
+)
+def search_folded(spark, d):
+    """Over path and content, case and accents folded, with a column filter."""
+    docs = table(spark, d, "documents").join(distinct_rows(files(spark, d), "path"), ["archive_id", "file_id"])
+    index = search.postings(docs.select(*DOC_KEYS, "path", F.col("text").alias("content")), DOC_KEYS)
+    return search.search(index, "(content : relevé OR content : Prufung OR path : REPORT) NOT (path : copy OR content : café)", DOC_KEYS).select(*DOC_KEYS)
 
 
 @query()
@@ -566,6 +615,71 @@ def catalog_upsert(spark, d):
     return catalog.upsert(a, again).select("archive_id", "db_path", "index_uuid")
 
 
+# -- archives written from the texts and read again
+
+
+def _write_texts(spark, d, kind: str) -> str:
+    """The texts as files of tar archives (plain, gzip of many members, zstd of many frames) or of a folder; returns the place in the shared folder.
+
+    Each task writes its own archive, under another name until it is complete, so that a repeated task changes nothing.
+    """
+    root = urlparse(Scratch(spark, kind).path("texts")).path
+    os.makedirs(root)
+
+    def write(batches):
+        no = TaskContext.get().partitionId()
+        if kind == "folder":
+            for b in batches:
+                for archive, doc, text in zip(b["archive_id"], b["doc_id"], b["text"]):
+                    os.makedirs(f"{root}/{archive}", exist_ok=True)
+                    with open(f"{root}/{archive}/.{doc}.part", "wb") as f:
+                        f.write(text.encode())
+                    os.replace(f"{root}/{archive}/.{doc}.part", f"{root}/{archive}/{doc}.txt")
+            yield pd.DataFrame({"at": [root]})
+            return
+        at = f"{root}/{no:05d}"
+        with tempfile.NamedTemporaryFile(dir=root, delete=False) as f:
+            with tarfile.open(fileobj=f, mode="w") as tar:
+                for b in batches:
+                    for archive, doc, text in zip(b["archive_id"], b["doc_id"], b["text"]):
+                        data = text.encode()
+                        m = tarfile.TarInfo(f"{archive}/{doc}.txt")
+                        m.size = len(data)
+                        tar.addfile(m, io.BytesIO(data))
+        pack = (lambda x: x, gzip.compress, zstandard.ZstdCompressor().compress)[no % 3]
+        with open(f.name, "rb") as plain, open(f.name + ".packed", "wb") as out:
+            while block := plain.read(1 << 18):
+                out.write(pack(block))
+        os.unlink(f.name)
+        os.replace(f.name + ".packed", at)
+        yield pd.DataFrame({"at": [at]})
+
+    docs = table(spark, d, "documents").where("text is not null").select("archive_id", "doc_id", "text").repartition(6, "doc_id")
+    made = docs.mapInPandas(write, "at string").distinct().collect()  # a name for each of the six tasks
+    return "\n".join(sorted(r["at"] for r in made))
+
+
+TEXT_ENTRIES = """SELECT archive_id || '/' || doc_id || '.txt' AS path, 'file' AS entry_type, CASE WHEN text = '' THEN 'empty' ELSE 'text' END AS kind,
+  octet_length(encode(text)) AS size, sha256(text) AS hash, CASE WHEN text <> '' THEN length(replace(text, chr(1), '')) END AS n_chars, 0 AS flags FROM documents WHERE text IS NOT NULL"""
+
+
+def _read_texts(spark, name: str, at: str) -> DataFrame:
+    register(spark)
+    rows = spark.read.format(name).option("algo", "sha256").load(at)
+    return rows.select("path", "entry_type", "kind", "size", F.lower(F.hex("content_hash")).alias("hash"), F.char_length("content").cast("long").alias("n_chars"), "flags")
+
+
+@query(TEXT_ENTRIES)
+def archive_entries(spark, d):
+    """Every entry of tar, gzip and zstd archives with its kind, hash and text."""
+    return _read_texts(spark, "tar_entries", _write_texts(spark, d, "tars"))
+
+
+@query(TEXT_ENTRIES)
+def folder_entries(spark, d):
+    return _read_texts(spark, "dir_entries", _write_texts(spark, d, "folder"))
+
+
 # -- running figures over skewed keys
 
 

@@ -51,8 +51,10 @@ def media_kind(path: str) -> str | None:
     return "image" if e in IMAGE_EXT else "raw" if e in RAW_EXT else "video" if e in VIDEO_EXT else None
 
 
-def hasher(algo: str) -> Any:
-    return Blake3() if algo == "blake3" else hashlib.new(algo)
+def hasher(algo: str, data: bytes = b"") -> Any:
+    h = Blake3() if algo == "blake3" else hashlib.new(algo)
+    h.update(data)
+    return h
 
 
 @dataclass(frozen=True)
@@ -133,6 +135,26 @@ class _Strict(tarfile.TarInfo):
         except (tarfile.InvalidHeaderError, tarfile.TruncatedHeaderError, tarfile.SubsequentHeaderError) as e:
             raise ArchiveError(f"damaged tar header: {e}; the index would be incomplete") from e
 
+    def _proc_pax(self, tar: tarfile.TarFile) -> tarfile.TarInfo:
+        """Records that can't be read are left out; the entry that they belong to is marked."""
+        try:
+            return super()._proc_pax(tar)
+        except (tarfile.InvalidHeaderError, ValueError):  # raised once the records have been read from the stream
+            if self.type != tarfile.XHDTYPE:
+                raise
+            m = self.fromtarfile(tar)
+            m.offset, m.pax_unparsed = self.offset, True
+            return m
+
+
+def check_sparse(path: str, m: tarfile.TarInfo) -> None:
+    """ArchiveError for a sparse map whose parts overlap, run backwards or end beyond the file."""
+    at = 0
+    for offset, size in m.sparse or ():
+        if offset < at or size < 0 or offset + size > m.size:
+            raise ArchiveError(f"{path}: damaged sparse map of {m.name}")
+        at = offset + size
+
 
 def _as_bytes(name: str) -> bytes:
     return name.encode("utf-8", "surrogateescape")
@@ -156,6 +178,8 @@ def tar_rows(path: str, archive_id: int, o: Options) -> Iterator[dict]:
             row["path"], row["path_raw"] = capture(_as_bytes(m.name))
             row.update(mtime_unix=int(m.mtime), mode=m.mode)
             pax = m.pax_headers or {}
+            if getattr(m, "pax_unparsed", False):
+                row["flags"] |= S.PAX_UNPARSED
             if link:
                 row["link_target"], row["link_target_raw"] = capture(_as_bytes(m.linkname))
                 row.update(entry_type="hardlink" if m.islnk() else "symlink", size=0, kind="link")
@@ -164,9 +188,10 @@ def tar_rows(path: str, archive_id: int, o: Options) -> Iterator[dict]:
                 size = next((int(pax[k]) for k in ("GNU.sparse.realsize", "GNU.sparse.size") if pax.get(k, "").isdigit()), m.size)
                 if "GNU.sparse.name" in pax:
                     row["path"], row["path_raw"] = capture(_as_bytes(pax["GNU.sparse.name"]))
-                row.update(entry_type="file", size=size, kind="binary", flags=S.SPARSE)
+                row.update(entry_type="file", size=size, kind="binary", flags=row["flags"] | S.SPARSE)
             else:
                 if m.type == tarfile.GNUTYPE_SPARSE:
+                    check_sparse(path, m)
                     row["flags"] |= S.SPARSE
                 describe(row, tar.extractfile(m), m.size, o)
             yield row
@@ -174,6 +199,11 @@ def tar_rows(path: str, archive_id: int, o: Options) -> Iterator[dict]:
             pass
 
 
+def own_output(folder: str) -> bool:
+    """Whether a folder is an index or a staged one: such are never indexed themselves."""
+    return os.path.isfile(os.path.join(folder, "manifest.json")) and os.path.isdir(os.path.join(folder, "files")) or ".staged-" in os.path.basename(folder)
+
+
 def walk(root: str, skip: frozenset[str] = frozenset()) -> tuple[list[tuple[str, str]], list[str]]:
     """((relative path, 'file' or 'symlink') in order of names, warnings); links are not followed."""
     out, warnings = [], []
@@ -188,7 +218,8 @@ def walk(root: str, skip: frozenset[str] = frozenset()) -> tuple[list[tuple[str,
             if e.is_symlink():
                 out.append((os.path.relpath(e.path, root), "symlink"))
             elif e.is_dir(follow_symlinks=False):
-                visit(e.path)
+                if os.path.abspath(e.path) not in skip and not own_output(e.path):
+                    visit(e.path)
             elif e.is_file(follow_symlinks=False) and os.path.abspath(e.path) not in skip:
                 out.append((os.path.relpath(e.path, root), "file"))
 
