@@ -10,15 +10,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftstone.session import Scratch
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 COLUMNS = ("path", "content")
 SNIPPET_TOKENS = 12
@@ -251,6 +253,78 @@ def postings(docs: DataFrame, keys: list[str], path: str = "path", content: str
     return docs.select(*keys, p.alias("path_tokens"), c.alias("content_tokens")).withColumn("doc_len", F.size("path_tokens") + F.size("content_tokens"))
 
 
+@dataclass
+class Inverted:
+    """An inverted index: ``terms(term, keys..., col, at)`` with the places of a term in a column of a row, ``lengths(keys..., doc_len)``.
+
+    Written with ``write``, terms lie in order, so that the files' statistics leave out all but those of a query's terms.
+    """
+
+    terms: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def of(index: DataFrame, keys: list[str]) -> Inverted:
+        """From the token arrays of ``postings``."""
+        parts = [index.select(*keys, F.lit(c).alias("col"), F.posexplode(f"{c}_tokens").alias("_at", "term")) for c in COLUMNS]
+        places = parts[0].union(parts[1]).groupBy("term", *keys, "col").agg(F.sort_array(F.collect_list("_at")).alias("at"))  # bounded by the text of one row
+        return Inverted(places.select("term", *keys, "col", "at"), index.select(*keys, "doc_len"))
+
+    def write(self, at: str, keys: list[str]) -> None:
+        """Range partitioned by term and key: a term of very many rows fills several files."""
+        self.terms.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{at}/terms")
+        self.lengths.write.parquet(f"{at}/lengths")
+
+    @staticmethod
+    def read(spark: SparkSession, at: str) -> Inverted:
+        return Inverted(spark.read.parquet(f"{at}/terms"), spark.read.parquet(f"{at}/lengths"))
+
+    def select(self, *cols: str) -> DataFrame:
+        return self.lengths.select(*cols)
+
+    def candidates(self, phrases: list[Phrase], keys: list[str]) -> DataFrame:
+        """``(keys..., _places)``: of every row that has any term of the phrases, the places by column and slot.
+
+        Only the postings of these terms are read (equality and prefix tests are pushed into the scan) and shuffled.
+        """
+        slots = _slots(phrases)
+        tests = [F.startswith("term", F.lit(t)) if prefix else F.col("term") == t for t, prefix in slots]
+        hit = self.terms.where(reduce(Column.__or__, tests))
+        places = [F.flatten(F.collect_list(F.when(test & (F.col("col") == c), F.col("at")))).alias(f"_{c}_{i}") for c in COLUMNS for i, test in enumerate(tests)]
+        return Scratch(hit.sparkSession, "search").save(hit.groupBy(*keys).agg(*places), "candidates")
+
+
+def _slots(phrases: list[Phrase]) -> list[tuple[str, bool]]:
+    """The different (term, whether as a prefix) of the phrases."""
+    return list(dict.fromkeys((t, p.prefix and k == len(p.terms) - 1) for p in phrases for k, t in enumerate(p.terms)))
+
+
+def _places(cands: DataFrame, keys: list[str], phrase: Phrase, no: int, slots: list[tuple[str, bool]]) -> DataFrame:
+    """``_instances`` from the candidates of an inverted index: starts common to the shifted places of all terms."""
+    out = None
+    for col in phrase.columns:
+        starts = [
+            F.transform(F.col(f"_{col}_{slots.index((t, phrase.prefix and k == len(phrase.terms) - 1))}"), _less(k)) for k, t in enumerate(phrase.terms)
+        ]
+        at = F.array_distinct(reduce(F.array_intersect, starts))
+        part = cands.select(*keys, F.lit(no).alias("_no"), F.lit(col).alias("_col"), F.explode(at).alias("_at"), F.lit(len(phrase.terms)).alias("_len"))
+        if phrase.initial:
+            part = part.where("_at = 0")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _less(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
+def _all_instances(index: DataFrame | Inverted, keys: list[str], wanted: list[Phrase]) -> dict[Phrase, DataFrame]:
+    if isinstance(index, Inverted):
+        cands, slots = index.candidates(wanted, keys), _slots(wanted)
+        return {p: _places(cands, keys, p, n, slots) for n, p in enumerate(wanted)}
+    return {p: _instances(index, keys, p, n) for n, p in enumerate(wanted)}
+
+
 def _instances(cands: DataFrame, keys: list[str], phrase: Phrase, no: int) -> DataFrame:
     """``(keys..., _no, _col, _at, _len)``: every place at which the phrase occurs, by an array scan of its first token."""
     out = None
@@ -293,10 +367,10 @@ def _matching(node, inst: dict[Phrase, DataFrame], keys: list[str], every: DataF
     return sides[0].join(sides[1], keys, "left_anti")
 
 
-def search(index: DataFrame, query: str, keys: list[str]) -> DataFrame:
+def search(index: DataFrame | Inverted, query: str, keys: list[str]) -> DataFrame:
     """``(keys..., rank, matches)`` of every row that matches: BM25 rank (lower is better) and marked spans in content.
 
-    ``index`` comes from ``postings``. Path matches count no spans; overlapping spans count as one. Ranks are computed
+    ``index`` comes from ``postings``, or is an ``Inverted``. Path matches count no spans; overlapping spans count as one. Ranks are computed
     over the whole index. A query without any token matches nothing.
     """
     tree, _ = parse(query)
@@ -308,16 +382,16 @@ def _check_keys(keys: list[str], *made: str) -> None:
         raise ValueError(f"key column {bad[0]!r} has a name that the search uses")
 
 
-def match(index: DataFrame, tree, keys: list[str]) -> DataFrame:
+def match(index: DataFrame | Inverted, tree, keys: list[str]) -> DataFrame:
     _check_keys(keys, "rank", "matches")
     every = index.select(*keys)
     wanted = [p for p in dict.fromkeys(_all_phrases(tree)) if p.terms]
     if not wanted:
         return every.limit(0).select(*keys, F.lit(0.0).alias("rank"), F.lit(0).cast("long").alias("matches"))
-    inst = {p: _instances(index, keys, p, n) for n, p in enumerate(wanted)}
+    inst = _all_instances(index, keys, wanted)
     hits = _matching(tree, inst, keys, every)
     marked = [p for p in dict.fromkeys(phrases_of(tree)) if p.terms]
-    size = index.agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))  # one row
+    size = index.select("doc_len").agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))  # one row
     freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "_no").agg(F.count(F.lit(1)).alias("_f"))
     df = freq.groupBy("_no").agg(F.count(F.lit(1)).alias("_df"))  # a row per phrase of the query
     lens = index.select(*keys, "doc_len")
@@ -344,16 +418,16 @@ def federated(found: DataFrame, keys: list[str], limit: int, archive: str = "arc
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def federated_ranks(index: DataFrame, query: str, keys: list[str], limit: int | None, archive: str = "archive_id") -> DataFrame:
+def federated_ranks(index: DataFrame | Inverted, query: str, keys: list[str], limit: int | None, archive: str = "archive_id") -> DataFrame:
     """Search every archive by itself: frequencies and lengths are those of the archive. Without a limit all hits come, and no places."""
     _check_keys(keys, "rank", "place")
     tree, _ = parse(query)
     marked = [p for p in dict.fromkeys(phrases_of(tree)) if p.terms]
     if not marked:
         return index.select(*keys).limit(0).select(*keys, F.lit(0.0).alias("rank"), F.lit(0).alias("place"))
-    inst = {p: _instances(index, keys, p, n) for n, p in enumerate(dict.fromkeys(x for x in _all_phrases(tree) if x.terms))}
+    inst = _all_instances(index, keys, list(dict.fromkeys(x for x in _all_phrases(tree) if x.terms)))
     hits = _matching(tree, inst, keys, index.select(*keys))
-    size = index.groupBy(archive).agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))
+    size = index.select(*keys, "doc_len").groupBy(archive).agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("doc_len").alias("_avg"))
     freq = reduce(DataFrame.union, [inst[p] for p in marked]).groupBy(*keys, "_no").agg(F.count(F.lit(1)).alias("_f"))
     df = freq.groupBy(archive, "_no").agg(F.count(F.lit(1)).alias("_df"))
     scored = freq.join(df, [archive, "_no"]).join(size, archive).join(index.select(*keys, "doc_len"), keys)

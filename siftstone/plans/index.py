@@ -21,7 +21,7 @@ from siftstone import schema as S
 from siftstone.functions.media import ALGORITHM
 from siftstone.functions.scalars import CONTENT_MODES
 from siftstone.operators.links import mark_shadowed, resolve_hardlinks
-from siftstone.operators.search import postings
+from siftstone.operators.search import Inverted, postings
 from siftstone.operators.words import word_freq
 from siftstone.plans.outpath import DestinationError, ProtectedSet, promote, stage_path
 from siftstone.schema import has_flag
@@ -112,7 +112,10 @@ def build_index(
         files.write.parquet(f"{staged}/files")
         if mode != "metadata-only":
             texts = entries.select("archive_id", "file_id", "path", "content")
-            postings(texts, ["archive_id", "file_id"]).write.parquet(f"{staged}/postings")
+            keys = ["archive_id", "file_id"]
+            postings(texts, keys).write.parquet(f"{staged}/tokens")
+            Inverted.of(spark.read.parquet(f"{staged}/tokens"), keys).write(f"{staged}/postings", keys)
+            shutil.rmtree(f"{staged}/tokens")
             if mode == "full":
                 texts.where("content is not null").select("archive_id", "file_id", "content").write.parquet(f"{staged}/content")
                 if word_stats:
@@ -173,10 +176,10 @@ class Index:
     def files(self) -> DataFrame:
         return self.table("files")
 
-    def postings(self) -> DataFrame:
+    def postings(self) -> Inverted:
         if self.mode == "metadata-only":
             raise IndexError_(f"{self.at} holds metadata only; index it again with its contents to search it")
-        return self.table("postings")
+        return Inverted.read(self.spark, os.path.join(self.at, "postings"))
 
 
 def discover(source_or_none: str | None, explicit: str | None, cwd: str = ".") -> str:

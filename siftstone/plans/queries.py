@@ -547,6 +547,17 @@ def search_folded(spark, d):
     return search.search(index, "(content : relevé OR content : Prufung OR path : REPORT) NOT (path : copy OR content : café)", DOC_KEYS).select(*DOC_KEYS)
 
 
+@query(
+    TERM + """, m AS (SELECT a.archive_id, a.doc_id, count(*) AS matches FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.at = a.at + 1 WHERE a.term = 'reading' AND b.term = 'room' GROUP BY 1, 2)
+  SELECT * FROM m WHERE doc_id NOT IN (SELECT doc_id FROM tok WHERE starts_with(term, 'relab'))"""
+)
+def search_inverted(spark, d):
+    """By an inverted index in the shared folder, of which only the postings of the query's terms are read."""
+    at = Scratch(spark, "inverted").path("index")
+    search.Inverted.of(_index(spark, d), DOC_KEYS).write(at, DOC_KEYS)
+    return search.search(search.Inverted.read(spark, at), '"reading room" NOT relab*', DOC_KEYS).select(*DOC_KEYS, "matches")
+
+
 @query()
 def search_snippets(spark, d):
     hits = _docs(spark, d, '"reading room" OR vault*').orderBy("rank", *DOC_KEYS).limit(20)

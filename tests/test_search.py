@@ -97,3 +97,15 @@ def test_words(spark):
     top = top_words(word_freq(df), 2).orderBy("rank").collect()
     assert [(r.word, r["rank"]) for r in top] == [("apple", 1), ("ärger", 2)] and top[0].bar == "█" * 20 and top[0].pct == 60.0
     assert top_words(word_freq(df.limit(0)), 2).count() == 0
+
+
+def test_inverted_index_finds_the_same(spark, index, tmp_path):
+    rows, df = index
+    at = str(tmp_path / "index")
+    S.Inverted.of(df, ["a", "f"]).write(at, ["a", "f"])
+    inverted = S.Inverted.read(spark, at)
+    for q in ("alpha NOT beta", '"alpha beta" OR "gamma al"*', "content:^alpha", "NEAR(alpha gamma, 1)", "path : alp*", "unknown"):
+        of = lambda i, q=q: sorted((x.a, x.f, round(x.rank, 9), x.matches) for x in S.search(i, q, ["a", "f"]).collect())
+        assert of(inverted) == of(df), q
+    plan = inverted.terms.where("term = 'beta'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,beta)" in plan.replace(" ", "")
