@@ -43,6 +43,36 @@ def test_hamming_pairs_of_nothing(spark):
     assert hamming_pairs(spark.createDataFrame([], "h long"), "h").count() == 0
 
 
+def test_exploded_fingerprints_are_never_broadcast(spark, tmp_path):
+    """Under any threshold: the estimate of an exploded table is that of the table before, the driver would hold it whole."""
+    from siftstone.operators import hamming
+
+    r = random.Random(5)
+    spark.createDataFrame([(signed(r.getrandbits(64)),) for _ in range(200)], "h long").write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    masks = hamming.base_masks(3)
+    k = hamming.keyed(prints.select(F.col("h").alias("lh")), "lh", masks)
+    work = hamming.Scratch(spark, "plans")
+    right, hot = k.withColumnRenamed("lh", "rh"), work.save(k.select("m", "v").limit(3), "hot")
+    flips = hamming._by_flips(k, right, hot, [[0, 1]] * len(masks), 1, False, ())
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (hamming_pairs(prints, "h"), hamming.close_keyed(k, right, 3, masks, work), flips.where("lh <> rh"))]
+    for p in plans:  # what is broadcast, if anything, holds no exploded table
+        assert "SortMergeJoin" in p and "Generate" not in "".join(broadcast_parts(p))
+
+
+def broadcast_parts(plan):
+    """The lines of a plan below its broadcasts."""
+    deep = None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*"))
+        if deep is not None and at <= deep:
+            deep = None
+        if deep is not None:
+            yield line
+        elif "BroadcastExchange" in line:
+            deep = at
+
+
 def union_find(edges):
     p = {}
 
