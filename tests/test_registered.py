@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import pytest
+
 from siftstone.plans.queries import QUERIES
+from siftstone.session import Scratch
 
 
 def test_reports_render_every_group(spark, make_files, make_archives, tmp_path):
@@ -25,3 +28,18 @@ def test_ranking_of_words_in_all_scripts(spark, tmp_path):
     want = [(i, w, count[w], docs[w]) for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[:20], 1)]
     got = [(r.rank, r.word, r.total_count, r.doc_count) for r in QUERIES["top_words_all_20"](spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == want and {"été", "архив", "αρχείο", "أرشيف"} <= {w for _, w, _, _ in got}
+
+
+@pytest.mark.parametrize("name", ["near_keep_actionable"])
+def test_near_duplicates_broadcast_no_exploded_fingerprints(spark, make_files, make_archives, tmp_path, monkeypatch, name):
+    """The driver would hold ten rows a fingerprint, which no estimate tells."""
+    prints = [0xE94AE84A1FB2B932 ^ (0x9E3779B97F4A7C15 * i) % (1 << 63) for i in range(40)]
+    rows = [dict(archive_id=a, file_id=i, path=f"{a}/{i}.jpg", phash=(h ^ a >> 1) - (1 << 64), content_hash=bytes([a, i]) * 16) for i, h in enumerate(prints) for a in (1, 2)]
+    make_files(rows).write.parquet(f"{tmp_path}/files.parquet")
+    make_archives([(1, 5), (2, 6)]).write.parquet(f"{tmp_path}/archives.parquet")
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, at: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df, at))[1])
+    out = QUERIES[name](spark, str(tmp_path))
+    assert out.count() >= len(prints)
+    exploded = [p for p in plans if "Generate explode(array(" in p]
+    assert exploded and not [p for p in exploded if "BroadcastHashJoin [m#" in p]
