@@ -30,7 +30,7 @@ def test_ranking_of_words_in_all_scripts(spark, tmp_path):
     assert got == want and {"été", "архив", "αρχείο", "أرشيف"} <= {w for _, w, _, _ in got}
 
 
-@pytest.mark.parametrize("name", ["near_keep_actionable", "report_members_json"])
+@pytest.mark.parametrize("name", ["near_keep_actionable", "report_lines", "report_members_json"])
 def test_near_duplicates_broadcast_no_exploded_fingerprints(spark, make_files, make_archives, tmp_path, monkeypatch, name):
     """The driver would hold ten rows a fingerprint, which no estimate tells."""
     prints = [0xE94AE84A1FB2B932 ^ (0x9E3779B97F4A7C15 * i) % (1 << 63) for i in range(40)]
