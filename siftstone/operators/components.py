@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.skew import shuffled
 from siftstone.session import Scratch
 
 
@@ -19,7 +20,7 @@ def resolve_forest(parents: DataFrame, work: Scratch) -> DataFrame:
     f = work.save(parents.select("v", F.col("parent").alias("root")).where("v <> root"), "forest")
     while True:
         up = f.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        g = work.save(f.join(up, "root", "left").select("v", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "jump")
+        g = work.save(f.join(shuffled(up), "root", "left").select("v", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "jump")
         again = bool(g.where("moved").take(1))
         work.drop(f)
         f = g
@@ -42,14 +43,14 @@ def contract(edges: DataFrame, work: Scratch) -> DataFrame:
         m = work.save(best.select("u", F.when(rank("n") < rank("u"), F.col("n")).otherwise(F.col("u")).alias("p")), "map")
         maps.append(m)
         mu, mv = m.select("u", F.col("p").alias("pu")), m.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        e = work.save(e.join(mu, "u").join(mv, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "edges")
+        e = work.save(e.join(shuffled(mu), "u").join(shuffled(mv), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "edges")
     if not maps:
         return edges.select("v", F.col("u").alias("root")).limit(0)
     out = None
     for m in reversed(maps):
         m = m.select(F.col("u").alias("v"), F.col("p").alias("root"))
         if out is not None:
-            m = m.join(out.select(F.col("v").alias("root"), F.col("root").alias("above")), "root", "left").select("v", F.coalesce("above", "root").alias("root"))
+            m = m.join(shuffled(out.select(F.col("v").alias("root"), F.col("root").alias("above"))), "root", "left").select("v", F.coalesce("above", "root").alias("root"))
         out = m
     return out
 
@@ -63,4 +64,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", work: Scr
     e = work.save(symmetric(edges, a, b), "edges")
     roots = work.save(contract(e, work), "roots")
     low = roots.groupBy("root").agg(F.min("v").alias("component"))
-    return roots.join(low, "root").select("v", "component")
+    return roots.join(shuffled(low), "root").select("v", "component")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftstone.functions.scalars import best_ts, best_ts_source, glob_regex, has_conflict_marker
 from siftstone.operators.components import connected_components
 from siftstone.operators.hamming import distance, hamming_pairs
-from siftstone.operators.skew import heavy_keys, salted_lookup, split_running
+from siftstone.operators.skew import heavy_keys, salted_lookup, shuffled, split_running
 from siftstone.schema import SHADOWED, SPARSE, comparable, has_flag, hex64
 from siftstone.session import Scratch
 
@@ -98,7 +98,7 @@ def near_labels(rows: DataFrame, threshold: int, work: Scratch) -> DataFrame:
     prints = work.save(prints, "prints")
     pairs = work.save(hamming_pairs(prints, "phash", threshold, work).select("a", "b"), "pairs")
     comp = connected_components(pairs, work=work).select(F.col("v").alias("phash"), F.col("component").alias("near"))
-    return prints.join(comp, "phash", "left").where(F.col("near").isNotNull() | (F.col("n") > 1)).select("phash", F.coalesce("near", "phash").alias("near"))
+    return prints.join(shuffled(comp), "phash", "left").where(F.col("near").isNotNull() | (F.col("n") > 1)).select("phash", F.coalesce("near", "phash").alias("near"))
 
 
 def membership(rows: DataFrame, p: DedupParams, work: Scratch) -> DataFrame:
@@ -111,7 +111,7 @@ def membership(rows: DataFrame, p: DedupParams, work: Scratch) -> DataFrame:
         # rows that can't be in a perceptual group get a key of their own, else they would meet under null
         eligible = comparable() & ~F.col("shadowed") & ~F.col("hardlink")
         probe = rows.withColumn("_probe", F.when(eligible, F.col("phash")).otherwise(F.xxhash64("archive_id", "file_id"))).withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-        rows = salted_lookup(probe, labels.withColumnRenamed("phash", "_probe"), "_probe", heavy, "left")
+        rows = salted_lookup(probe, shuffled(labels.withColumnRenamed("phash", "_probe")), "_probe", heavy, "left")
         rows = rows.withColumn("near", F.when(F.col("_eligible"), F.col("near"))).drop("_probe", "_eligible")
         near = F.col("near")
     in_near = near.isNotNull()
@@ -188,12 +188,13 @@ def run_dedup(files: DataFrame, archives: DataFrame, p: DedupParams | None = Non
         algos = [r[0] for r in scope.where("phash_algo is not null").select("phash_algo").distinct().limit(5).collect()]
         if len(algos) > 1:
             raise ValueError(f"fingerprints of different kinds can't be compared: {sorted(algos)}; index the older archives again")
-    work = Scratch(files.sparkSession, "dedup")
+    work, steps = (Scratch(files.sparkSession, label, tidy=True) for label in ("dedup", "dedup-steps"))
     rows = scoped_rows(files, archives, p)
-    members = work.save(membership(rows, p, work), "members")
+    members = work.save(membership(rows, p, steps), "members")
+    steps.clear()
     figures = work.save(group_figures(members, p), "figures")
     heavy = [k for k in _heavy(members, "gkey") if k is not None]
-    joined = salted_lookup(members, figures.drop("gkind", "first"), "gkey", heavy)
+    joined = salted_lookup(members, shuffled(figures.drop("gkind", "first")), "gkey", heavy)
     is_keep = (F.col("archive_id") == F.col("keep_archive")) & (F.col("file_id") == F.col("keep_file"))
     hamming = F.when(F.col("gkind") == "near", distance(F.col("phash"), F.col("keep_phash"))).otherwise(0)
     live = ~is_keep & ~F.col("shadowed") & ~F.col("hardlink")
@@ -203,12 +204,13 @@ def run_dedup(files: DataFrame, archives: DataFrame, p: DedupParams | None = Non
         hamming.alias("hamming_to_keep"), is_keep.alias("keep"), F.when(is_keep, F.col("reason")).alias("keep_reason"), actionable.alias("actionable"), "shadowed", "sparse", "hardlink",
     )
     out = work.save(out, "out")
+    work.drop(members)
     labels = scope.dropDuplicates(["archive_id"]).select("archive_id", F.col("label").alias("archive_label"), "indexed_unix")
     wide = files.where(scope_filter(p)).select("archive_id", "file_id", "path", "path_raw", "kind", "mtime_unix", "exif_unix", "exif_src").dropDuplicates(["archive_id", "file_id"])
     wide = wide.join(labels, "archive_id").select(
         "archive_id", "archive_label", "file_id", "path", "path_raw", "kind", "mtime_unix", "exif_unix", best_ts().alias("best_ts_unix"), best_ts_source().alias("best_ts_source")
     )
-    full = out.join(wide, ["archive_id", "file_id"]).withColumn("hardlink_of", F.when(F.col("hardlink"), F.col("path")))
+    full = out.join(shuffled(wide), ["archive_id", "file_id"]).withColumn("hardlink_of", F.when(F.col("hardlink"), F.col("path")))
     review = ~F.col("keep") & ~F.col("shadowed") & ~F.col("hardlink") & ~F.col("actionable")
     sums = out.groupBy("match_kind", "gkey").agg(
         F.max("hamming_to_keep").alias("max_distance"),
@@ -217,8 +219,9 @@ def run_dedup(files: DataFrame, archives: DataFrame, p: DedupParams | None = Non
         F.count_if("actionable").alias("duplicate_files"), F.count_if(review).alias("transitive_only_files"),
         F.sum(F.when(~F.col("keep") & F.col("shadowed"), F.col("size")).otherwise(0)).alias("shadowed_bytes"),
     )
-    groups = figures.select(F.col("gkind").alias("match_kind"), "gkey", F.col("n").alias("members"), "keep_ts", F.col("first.archive_id").alias("_fa"), F.col("first.file_id").alias("_ff")).join(sums, ["match_kind", "gkey"])
+    groups = figures.select(F.col("gkind").alias("match_kind"), "gkey", F.col("n").alias("members"), "keep_ts", F.col("first.archive_id").alias("_fa"), F.col("first.file_id").alias("_ff")).join(shuffled(sums), ["match_kind", "gkey"])
     groups = work.save(groups, "groups")
+    work.drop(figures)
     totals = groups.agg(
         F.coalesce(F.sum("duplicate_files"), F.lit(0)).alias("duplicate_files"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"),
         F.coalesce(F.sum("transitive_only_files"), F.lit(0)).alias("transitive_only_files"), F.coalesce(F.sum("review_only_bytes"), F.lit(0)).alias("review_only_bytes"),

@@ -17,6 +17,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.skew import shuffled
 from siftstone.session import Scratch
 
 HOT_BUCKET = 512
@@ -55,18 +56,13 @@ def distance(a: Column, b: Column) -> Column:
 def keyed(df: DataFrame, h: str, masks: list[int]) -> DataFrame:
     """One row of df for each mask: ``m`` the mask's place in masks, ``v`` the value's bits under it.
 
-    Spark's estimate of its size leaves the explosion out, so a join with it must say how it is done (``_shuffled``).
+    Spark's estimate of its size leaves the explosion out, so a join with it must say how it is done (``shuffled``).
     """
     col = F.col(h)
     pairs = [F.struct(F.lit(i).alias("m"), col.bitwiseAND(F.lit(signed(k)).cast("long")).alias("v")) for i, k in enumerate(masks)]
     return df.withColumn("_k", F.explode(F.array(*pairs))).select(*df.columns, "_k.m", "_k.v")
 
 
-def _shuffled(df: DataFrame) -> DataFrame:
-    """df, to be joined by shuffle and sort: an exploded side is many times its estimate and must never go to the driver."""
-    return df.hint("merge")
-
-
 def _first_mask(x: Column, masks: list[int]) -> Column:
     """The first mask under which two values with this xor agree; a pair is reported under that one only."""
     when = F.when(x.bitwiseAND(F.lit(signed(masks[0])).cast("long")) == 0, 0)
@@ -86,7 +82,7 @@ def _hot(left: DataFrame, right: DataFrame, most: int, same: bool, work: Scratch
     if same:
         many = many.where(F.col("nr") > most).select("m", "v")
     else:
-        many = many.join(_shuffled(left.groupBy("m", "v").agg(F.count(F.lit(1)).alias("nl"))), ["m", "v"]).where(F.col("nr") * F.col("nl") > most * most).select("m", "v")
+        many = many.join(shuffled(left.groupBy("m", "v").agg(F.count(F.lit(1)).alias("nl"))), ["m", "v"]).where(F.col("nr") * F.col("nl") > most * most).select("m", "v")
     hot = work.save(many, "hot")
     return hot if hot.take(1) else None
 
@@ -109,7 +105,7 @@ def close_keyed(
         hot = _hot(left, right, max(hot_bucket, flips) if last else hot_bucket, ordered, work)
         calm = right if hot is None else right.join(hot, ["m", "v"], "left_anti")
         x = F.col("lh").bitwiseXOR(F.col("rh"))
-        found = left.join(_shuffled(calm), ["m", "v"]).where(F.bit_count(x) <= threshold)
+        found = left.join(shuffled(calm), ["m", "v"]).where(F.bit_count(x) <= threshold)
         if level == 0:  # deeper tables lack the rows of calm buckets, so the first mask may be none of theirs
             found = found.where(F.col("m") == _first_mask(x, masks))
         if ordered:
@@ -141,7 +137,7 @@ def _by_flips(left: DataFrame, right: DataFrame, hot: DataFrame, free: list[list
     ours = left.join(hot, ["m", "v"], "left_semi").join(F.broadcast(ways), "m").select("m", "lh", F.explode("flips").alias("_x")).select("m", "lh", F.col("lh").bitwiseXOR(F.col("_x")).alias("rh"))
     theirs = right.join(hot, ["m", "v"], "left_semi").select("m", "rh", *extra)
     found = ours.where("lh < rh") if ordered else ours
-    return found.join(_shuffled(theirs), ["m", "rh"]).select("lh", "rh", *extra).distinct()
+    return found.join(shuffled(theirs), ["m", "rh"]).select("lh", "rh", *extra).distinct()
 
 
 def hamming_pairs(hashes: DataFrame, h: str, threshold: int = 3, work: Scratch | None = None, hot_bucket: int = HOT_BUCKET) -> DataFrame:

@@ -65,6 +65,15 @@ def split_running(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffle and sort, for sides that grow with the input.
+
+    Estimates come from the bytes of written columns, packed and before any explosion: a table far below the broadcast
+    threshold by its estimate may be many times that in rows, and the driver would hold them all.
+    """
+    return df.hint("merge")
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, share: float) -> DataFrame:
     """``(key, n, total)`` of the keys with at least the given share of all rows: at most ``1 / share`` of them."""
     total = counts.agg(F.sum(n).alias("total"))
