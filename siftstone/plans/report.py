@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.scalars import fmt_unix, format_count, human_bytes, sanitize, truncate_path
 from siftstone.operators.dedup import DedupParams, DedupResult, resolve_scope
+from siftstone.operators.skew import shuffled
 from siftstone.plans.catalog import INCOMPLETE, INDEX_MISSING, skipped
 from siftstone.schema import hex64
 
@@ -88,7 +89,7 @@ def verify_json(archives: DataFrame) -> list[dict]:
 def group_lines(result: DedupResult, width: int = 60) -> DataFrame:
     """``(group_id, line)``: a readable line for each group."""
     keep = result.members.where("keep").select("gkey", "match_kind", "path", "best_ts_unix")
-    g = result.groups.join(keep, ["gkey", "match_kind"])
+    g = result.groups.join(shuffled(keep), ["gkey", "match_kind"])
     return g.select(
         "group_id",
         F.concat(

@@ -51,7 +51,7 @@ def test_near_duplicates_broadcast_no_exploded_fingerprints(spark, make_files, m
 GROWING = re.compile(r"BroadcastHashJoin \[((?:gkey|match_kind|root|u|v|phash|_probe)#|archive_id#\d+L, file_id#)")
 
 
-@pytest.mark.parametrize("name", ["near_keep_actionable"])
+@pytest.mark.parametrize("name", ["near_keep_actionable", "report_lines"])
 def test_near_duplicates_broadcast_nothing_that_grows(spark, make_files, make_archives, tmp_path, monkeypatch, name):
     """Under any threshold: a packed table that is small by its estimate filled the driver. What was used up is gone."""
     prints = [0xE94AE84A1FB2B932 ^ (0x9E3779B97F4A7C15 * i) % (1 << 63) for i in range(40)]
