@@ -23,7 +23,7 @@ def members_json(result: DedupResult, hash_prefix: str = "b3") -> DataFrame:
 
     ``path_bytes`` is left out where the path is complete; every other missing value is an explicit null.
     """
-    m = result.members.join(result.groups.select("gkey", "match_kind", "group_id"), ["gkey", "match_kind"])
+    m = result.members.join(shuffled(result.groups.select("gkey", "match_kind", "group_id")), ["gkey", "match_kind"])
     raw = F.lower(F.hex("path_raw"))
     cols = [
         "archive_id", "archive_label", "file_id", "path", "kind", "size", F.concat(F.lit(hash_prefix + ":"), F.lower(F.hex("content_hash"))).alias("content_hash"),
